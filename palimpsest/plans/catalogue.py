@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from palimpsest.plans import problems
+from palimpsest.plans import cluster, problems, store, store_sql
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**store.QUERIES, **cluster.QUERIES, **problems.QUERIES}
+SQL = {**store_sql.SQL, **cluster.SQL, **problems.SQL}
