@@ -10,6 +10,9 @@ from palimpsest.operators.blocks import in_blocks
 from palimpsest.operators.joins import lookup_join
 from palimpsest.operators.mvcc import resolve
 
+#: Files of a manifest whose ranges are broadcast.
+FEW_FILES = 10_000
+
 
 def retain(cells: DataFrame, oldest_pin: int | None) -> DataFrame:
     """The versions that compaction keeps.
@@ -26,9 +29,7 @@ def retain(cells: DataFrame, oldest_pin: int | None) -> DataFrame:
 def drop_tombstones(kept: DataFrame, deeper: DataFrame) -> DataFrame:
     """``kept`` (one version per key, no pin) without the tombstones that no file of ``deeper`` (min_key, max_key) may need.
 
-    Ranges of keys are joined without pairing each tombstone with each file: ranges
-    and tombstones are sorted together and a running maximum of ``max_key`` tells
-    whether any range that began reaches as far.
+    Only tombstones are compared with the ranges.
     """
     ranges = deeper.select(F.col("min_key").alias("key"), F.col("max_key").alias("_reach"))
     covered = covering(kept.where("is_tombstone").select("key", "seq", "value", "is_tombstone"), ranges)
@@ -38,11 +39,11 @@ def drop_tombstones(kept: DataFrame, deeper: DataFrame) -> DataFrame:
 def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows of ``points`` whose ``key`` lies in a range of ``ranges`` (key, _reach).
 
-    A manifest is small; beyond a checked bound of files the ranges are merged into
-    disjoint ones first, and both sides range-partitioned.
+    Up to ``FEW_FILES`` ranges, counted first, are broadcast. Beyond that ranges and
+    points are sorted together in blocks, where a running maximum of ``_reach`` tells
+    whether any range that began reaches as far.
     """
-    limit = 10_000
-    if ranges.limit(limit + 1).count() <= limit:
+    if ranges.limit(FEW_FILES + 1).count() <= FEW_FILES:
         spans = ranges.withColumnsRenamed({"key": "_from"})
         return points.join(F.broadcast(spans), (points["key"] >= spans["_from"]) & (points["key"] <= spans["_reach"]), "left_semi")
     side = ranges.select("key", F.lit(0).alias("_side"), "_reach", F.lit(None).alias("_row0"))

@@ -28,7 +28,7 @@ class IncrementalTarget:
     def __init__(self, spark: SparkSession, path: str, key: Sequence[tuple[str, str]], version: tuple[str, str], columns: Sequence[tuple[str, str]] = ()) -> None:
         self.table = VersionedTable(spark, path)
         self.id_columns = [n for n, _ in key] + [version[0]]
-        self.schema = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in [*key, version, *columns]))
+        self.schema = T.DataType.fromDDL(", ".join(f"`{n}` {t}" for n, t in [*key, version, *columns]))
 
     def rows(self, version: int | None = None) -> DataFrame:
         return self.table.read(self.table.content(version).get("folders", []), self.schema)

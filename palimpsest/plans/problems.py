@@ -144,7 +144,7 @@ _REQUEST = "delivery_id bigint, store_id bigint, node_url string, batch_no bigin
 def delivered(spark: SparkSession, sf: str, batches: int = DELIVERY_BATCHES) -> DeliveryTable:
     """All deliveries applied in order of receipt, in ``batches`` batches, partitioned by day of receipt."""
     rows = table(spark, sf, "replicate_request")
-    kept = DeliveryTable(spark, scratch_path(spark, "deliveries"), T._parse_datatype_string(_REQUEST), ["store_id", "node_url", "index"], "delivery_id", F.to_date("received_at"))
+    kept = DeliveryTable(spark, scratch_path(spark, "deliveries"), T.DataType.fromDDL(_REQUEST), ["store_id", "node_url", "index"], "delivery_id", F.to_date("received_at"))
     low, high = rows.agg(F.min("delivery_id"), F.max("delivery_id")).first()
     if low is not None:
         step = (high - low) // batches + 1
