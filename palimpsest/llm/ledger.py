@@ -71,11 +71,6 @@ def seen_before(rows: DataFrame, ledger: KeyLedger, key: str, position: str) ->
     So the firsts, at most one per key, are taken away by position and key; a key that
     holds a third of the rows is spread by its positions and makes no hot task.
     """
-    p = F.coalesce(F.col(f"`{position}`").cast("bigint"), F.lit(2**63 - 1))
     firsts = ledger.first_arrivals().where(F.col("_first") > -(2**63))
-    return (
-        rows.where(F.col(f"`{key}`").isNotNull())
-        .withColumn("_at", p)
-        .join(firsts, (F.col("_at") == F.col("_first")) & (F.col(f"`{key}`") == F.col("_key")), "left_anti")
-        .drop("_at")
-    )
+    k, p = rows[f"`{key}`"], F.coalesce(rows[f"`{position}`"].cast("bigint"), F.lit(2**63 - 1))
+    return rows.where(k.isNotNull()).join(firsts, (p == firsts["_first"]) & (k == firsts["_key"]), "left_anti")

@@ -103,7 +103,7 @@ def endings(documents: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     header = ~marked & F.col("_block").rlike(_PARTIAL_HEADER)
     empty = marked & (line == "")
     dialogue = F.length(cue) - F.length(F.regexp_replace(cue, r"(?m)^- ", " ")) == 1
-    open_mark = cue.rlike(r"<[^>]*$|\{[^}]*$|\[[^\]]*$|\([^)]*$") | (line.rlike(r"^♪") & ~line.rlike(r"♪$")) | (line == "♪")
+    open_mark = cue.rlike(r"<[^>]*$|\{[^}]*$|\[[^\]]*$|\([^)]*$") | line.rlike(r"^♪[^♪]*(?:♪[^♪]*♪[^♪]*)*$") & ~line.rlike(r"[^♪]♪$")
     ellipsis = line.rlike(rf"{_ELLIPSIS}$")
     closed = line.rlike(_CLOSED)
     # A song whose notes were decoded wrongly still begins and ends with the same token.
