@@ -42,7 +42,7 @@ class Evidence:
     open_mark: float = 7.0
     hanging_space: float = 6.5
     half_dialogue: float = 2.0
-    closed: float = -2.0
+    closed: float = -2.8
     two_dots: float = 4.0
     #: No closing mark at the end of the text; less a line break after it, which cut texts rarely have.
     unclosed: float = 6.2
@@ -121,7 +121,8 @@ def endings(documents: DataFrame, e: Evidence = Evidence()) -> DataFrame:
         .otherwise("unclosed")
     )
     words = F.split(F.regexp_replace(line, r"\d+", "#"), r"\s+")
-    form = F.when(F.size(words) > 1, F.array_join(F.slice(words, -2, 2), " ")).otherwise(F.concat(F.lit("\n"), words[0]))
+    # Hashed, as a text without blanks may end in a word of any length.
+    form = F.when(F.size(words) > 1, F.xxhash64(F.slice(words, -2, 2))).otherwise(F.xxhash64(F.lit("\n"), words[0]))
     n_cues, n_chars = F.col("declared_cues"), F.col("declared_chars")
     declared = F.when((n_chars > F.col("chars")) & (n_chars != F.col("bytes")), e.more_chars_declared).otherwise(0.0) + F.when(
         n_cues > F.col("_cues"), e.more_cues_declared
@@ -204,11 +205,23 @@ def fit_censored(n: float, s1: float, s2: float, censored: Sequence[tuple[float,
 _LIMITS = "source string, unit string, at bigint, held bigint, expected double, prior double, mu double, sigma double"
 
 
+def share_of_cuts(evidence: Sequence[tuple[float, int]], first: float, rounds: int = 50) -> float:
+    """The share of cuts among values of which each has this evidence (log likelihood ratio, how many), by expectation maximisation from ``first``."""
+    total = sum(n for _, n in evidence)
+    share = min(max(first, 1e-3), 1 - 1e-3)
+    for _ in range(rounds):
+        prior = math.log(share / (1 - share))
+        found = sum(n / (1 + math.exp(-max(-700.0, x + prior))) for x, n in evidence) / total
+        share = min(max(found, 1e-3), 1 - 1e-3)
+    return share
+
+
 def _fit_groups(e: Evidence):
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         n, s1, s2 = float(first["n"]), float(first["s1"]), float(first["s2"])
-        piles = [(int(v), int(c)) for v, c in zip(frame["at"], frame["held"], strict=True)]
+        ends = {int(v): list(zip(g["evidence"], g["held"], strict=True)) for v, g in frame.groupby("at")}
+        piles = [(v, c) for v, c in ((v, int(sum(m for _, m in x))) for v, x in ends.items()) if c >= e.limit_count]
         mu, sigma = fit_censored(n, s1, s2, ())
         for _ in range(5):
             # The part of each pile beyond what the fit expects at that very length is censored.
@@ -220,7 +233,9 @@ def _fit_groups(e: Evidence):
         for v, c in piles:
             expected = max(n * log_normal_density(v, mu, sigma), 1e-3)
             if c >= e.limit_excess * expected:
-                rows.append((first["source"], first["unit"], v, c, expected, math.log(max(c - expected, 1e-3) / expected), mu, sigma))
+                # A pile may hold more complete texts than its length explains; their endings show it.
+                share = share_of_cuts(ends[v], 1 - expected / c)
+                rows.append((first["source"], first["unit"], v, c, expected, min(math.log(max(c - expected, 1e-3) / expected), math.log(share / (1 - share))), mu, sigma))
         return pd.DataFrame(rows, columns=["source", "unit", "at", "held", "expected", "prior", "mu", "sigma"])
 
     return fit
@@ -265,11 +280,11 @@ def at_piles(ends: DataFrame, e: Evidence = Evidence()) -> tuple[DataFrame, Data
 def limits(ends: DataFrame, piles: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     """The limits of each source: unit (char or byte), length, values there, values expected, and log odds of a cut.
 
-    ``ends`` has the pile of each text, as :func:`at_piles` returns it. What is grouped by source is a few piles.
+    ``ends`` has the pile of each text, as :func:`at_piles` returns it. What is grouped by source is a few piles' histograms of evidence.
     """
-    own = ends.where("unit IS NOT NULL").groupBy("source", "unit", "at", "block").agg(F.max("evidence")).groupBy("source", "unit", "at").agg(F.count("*").alias("held"))
-    sums = piles.select("source", "unit", "at", "n", "s1", "s2")
-    real = own.where(F.col("held") >= e.limit_count).join(sums, ["source", "unit", "at"])
+    own = ends.where("unit IS NOT NULL").groupBy("source", "unit", "at", "block").agg(F.max("evidence").alias("evidence"))
+    histogram = own.groupBy("source", "unit", "at", (F.round(F.col("evidence") * 4) / 4).alias("evidence")).agg(F.count("*").alias("held"))
+    real = histogram.join(piles.select("source", "unit", "at", "n", "s1", "s2"), ["source", "unit", "at"])
     return real.groupBy("source", "unit").applyInPandas(_fit_groups(e), _LIMITS)
 
 
