@@ -25,5 +25,8 @@ def bit_of(key: Column, round_no: Column, bits: Column) -> Column:
     The digest is folded 32 bits at a time, so that no step leaves the range of a long.
     """
     digest = F.sha2(F.concat(F.encode(key, "UTF-8"), F.unhex(F.lpad(F.hex(round_no.cast("bigint")), 8, "0"))), 256)
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: ((acc * F.lit(2**32) % bits) + w) % bits)
+    bit = F.lit(0).cast("bigint")
+    for i in range(8):
+        word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
+        bit = ((bit * F.lit(2**32)) % bits + word) % bits
+    return bit

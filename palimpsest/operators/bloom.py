@@ -15,15 +15,20 @@ def sizing(files: DataFrame, rate: float, file: str = "file_no") -> DataFrame:
     return sized.withColumn("hashes", hash_count(F.col("capacity"), F.col("bits")))
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """Rows that are few but each become several hashes: over all shuffle partitions, so that they aren't put into few tasks by their size."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys.columns)
+
+
 def build(files: DataFrame, sizes: DataFrame, file: str = "file_no") -> DataFrame:
     """The bits that are set, once each. Keys are made distinct before they are hashed."""
-    keys = lookup_join(files.select(file, "key").distinct(), sizes, [file], spread=["key"])
+    keys = lookup_join(_spread(files.select(file, "key").distinct()), sizes, [file], spread=["key"])
     return keys.select(file, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hashes") - 1)).alias("round"), "key", "bits").select(file, bit_of(F.col("key"), F.col("round"), F.col("bits")).alias("bit")).distinct()
 
 
 def probe(bits: DataFrame, sizes: DataFrame, probes: DataFrame, file: str = "file_no") -> DataFrame:
     """Pairs of ``probes`` (file, key) that the file's filter lets through: all bits of the key are set."""
-    asked = lookup_join(probes.select(file, "key").distinct(), sizes, [file], spread=["key"])
+    asked = lookup_join(_spread(probes.select(file, "key").distinct()), sizes, [file], spread=["key"])
     wanted = asked.select(file, "key", "hashes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hashes") - 1)).alias("round"), "bits").select(file, "key", bit_of(F.col("key"), F.col("round"), F.col("bits")).alias("bit")).distinct()
     # Rounds may share a bit, so both sides are counted in distinct bits.
     hit = wanted.join(bits.withColumn("_set", F.lit(1)), [file, "bit"], "left")
