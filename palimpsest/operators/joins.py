@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side that may be broadcast.
+#: Rows, and bytes of them as JSON, that a lookup side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 SALTS = 16
 
 
@@ -23,8 +24,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` on ``on``; ``how`` is inner, left, left_semi or left_anti.
 
-    ``lookup`` is counted first, up to ``max_rows`` + 1: only below that bound it is
-    broadcast. Beyond it both sides are shuffled, with ``rows`` spread over ``salts``
+    ``lookup`` is measured first, up to ``max_rows`` + 1: only within that bound and
+    ``BROADCAST_BYTES`` it is broadcast. Beyond it both sides are shuffled, with ``rows`` spread over ``salts``
     by the columns ``spread`` (all columns if none are given) and ``lookup``
     repeated once per salt, so that a key which holds a third of ``rows`` is shared
     by that many tasks.
@@ -32,7 +33,9 @@ def lookup_join(
     Null keys match nothing; repeated keys of ``lookup`` repeat rows, as in any join.
     """
     on = list(on)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    measured = lookup.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in lookup.columns)))).cast("bigint").alias("b"))
+    count, size = measured.agg(F.count("*"), F.sum("b")).first()
+    if count <= max_rows and (size or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup), on, how)
     salt = "_salt"
     while salt in {*rows.columns, *lookup.columns}:

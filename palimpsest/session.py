@@ -60,3 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything that :func:`written` and :func:`scratch_path` made in the shared folder; call it when no DataFrame of theirs is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
