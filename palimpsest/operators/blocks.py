@@ -33,29 +33,31 @@ def in_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def _carried(blocks: DataFrame, amount: Column) -> Column:
-    """The sum of ``amount`` over all earlier blocks, as a lookup by block. One number per block comes to the driver."""
-    sums = sorted((r[0], r[1] or 0) for r in blocks.groupBy("_block").agg(F.sum(amount)).collect())
-    before, total = {}, 0
-    for b, s in sums:
-        before[b] = total
+def with_carry(blocks: DataFrame, carry: dict[int, object], kind: str, name: str) -> DataFrame:
+    """``blocks`` with what was carried into each block. One row per block is broadcast: as many as there are partitions."""
+    rows = blocks.sparkSession.createDataFrame(list(carry.items()), f"_block int, {name} {kind}")
+    return blocks.join(F.broadcast(rows), "_block", "left")
+
+
+def _summed_before(blocks: DataFrame, amount: Column) -> DataFrame:
+    """``blocks`` with ``_carry``, the sum of ``amount`` over all earlier blocks. One number per block comes to the driver."""
+    carry, total = {}, 0
+    for b, s in sorted((r[0], r[1] or 0) for r in blocks.groupBy("_block").agg(F.sum(amount)).collect()):
+        carry[b] = total
         total += s
-    if not before:
-        return F.lit(0).cast("bigint")
-    return F.element_at(F.create_map(*(F.lit(x) for b, s in before.items() for x in (b, s))), F.col("_block")).cast("bigint")
+    return with_carry(blocks, carry, "bigint", "_carry")
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
     """``df`` with each row's position in ``order``, from 1."""
-    blocks = in_blocks(df, order)
-    return blocks.withColumn(name, _carried(blocks, F.lit(1)) + F.col("_row") + 1).drop("_block", "_row")
+    return _summed_before(in_blocks(df, order), F.lit(1)).withColumn(name, F.col("_carry") + F.col("_row") + 1).drop("_block", "_row", "_carry")
 
 
 def with_running_sum(df: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows up to and including each."""
     blocks = in_blocks(df, order)
     within = F.sum(f"`{amount}`").over(W.partitionBy("_block").orderBy("_row").rowsBetween(W.unboundedPreceding, 0))
-    return blocks.withColumn(name, _carried(blocks, F.col(f"`{amount}`")) + within).drop("_block", "_row")
+    return _summed_before(blocks.withColumn("_within", within), F.col(f"`{amount}`")).withColumn(name, F.col("_carry") + F.col("_within")).drop("_block", "_row", "_carry", "_within")
 
 
 class CloseAfter:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from palimpsest.operators.blocks import in_blocks
+from palimpsest.operators.blocks import in_blocks, with_carry
 from palimpsest.operators.joins import lookup_join
 from palimpsest.operators.mvcc import resolve
 
@@ -54,10 +54,8 @@ def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
     for b in sorted(tops):
         carried[b] = reach
         reach = max((x for x in (reach, tops[b]) if x is not None), default=None)
-    known = [x for b, r in carried.items() if r is not None for x in (F.lit(b), F.lit(r))]
-    earlier = F.element_at(F.create_map(*known), F.col("_block")) if known else F.lit(None).cast("string")
     upto = F.max("_reach").over(W.partitionBy("_block").orderBy("_row").rowsBetween(W.unboundedPreceding, 0))
-    reached = blocks.withColumn("_upto", F.greatest(upto, earlier))
+    reached = with_carry(blocks, carried, "string", "_earlier").withColumn("_upto", F.greatest(upto, "_earlier"))
     return reached.where("_side = 1 AND _upto >= key").select("_row0.*")
 
 
