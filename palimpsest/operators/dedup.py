@@ -27,7 +27,7 @@ class DeliveryTable:
 
     * A delivery with a null in ``ident`` is a message of its own and is kept.
     * A null ``order`` comes last. A null partition is a partition.
-    * Equal rows are one delivery. Columns other than those of ``schema`` are ignored.
+    * Equal rows are one delivery. An empty batch publishes a version without new rows. Columns other than those of ``schema`` are ignored.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, ident: Sequence[str], order: str, partition: Column) -> None:

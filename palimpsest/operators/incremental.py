@@ -21,7 +21,7 @@ class IncrementalTarget:
 
     ``columns`` are further output columns. Source rows with a null in ``key`` or
     ``version`` are compared as values, null equalling null. Rows repeated in the
-    source are processed once. Names in ``key``, ``version`` and ``columns`` must
+    source are processed once. An empty source publishes a version without new rows. Names in ``key``, ``version`` and ``columns`` must
     differ; other columns of the source are ignored.
     """
 

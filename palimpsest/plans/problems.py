@@ -75,7 +75,7 @@ def _address(url: Column) -> Column:
 def follower_bases(states: DataFrame) -> DataFrame:
     """Followers of each store with the index confirmed by, and the start of, their base run; both null without one."""
     ok = states.where(F.lower("outcome") == "ok")
-    last = ok.groupBy("store_id").agg(F.max_by(F.struct("nodes", "leader"), "run_no").alias("run"))
+    last = ok.where("run_no IS NOT NULL").groupBy("store_id").agg(F.max(F.struct("run_no", "leader", "nodes")).alias("run"))
     followers = (
         last.select("store_id", F.col("run.leader").alias("leader"), F.explode("run.nodes").alias("node_url"))
         .where("node_url IS NOT NULL AND NOT (node_url <=> leader)")
