@@ -26,7 +26,8 @@ class KeyLedger:
 
     * A null key is never seen before and not remembered; a null position comes last.
     * Of rows of one key at one position all are first or none is.
-    * Keys are compared exactly, code point by code point.
+    * Keys are compared exactly, code point by code point, at any length.
+    * An empty batch adds nothing. Columns other than key and position are ignored.
     """
 
     def __init__(self, spark: SparkSession, path: str, key_type: DataType | None = None, buckets: int | None = None) -> None:

@@ -153,10 +153,11 @@ def with_recurrence(ends: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     line break, the others may have got theirs since. Every count is reduced before
     its shuffle.
     """
-    blocks = ends.where("form IS NOT NULL").groupBy("form", "block").agg(F.min("broken_off").alias("_all"), F.max("broken_off").cast("bigint").alias("_own"))
-    forms = blocks.groupBy("form").agg(F.sum("_own").alias("_with"), F.sum(1 - F.col("_own")).alias("_without")).where("_with > 0")
+    # What is read more than once is written: a few numbers per text with a form.
+    blocks = written(ends.where("form IS NOT NULL").groupBy("form", "block").agg(F.min("broken_off").alias("_all"), F.max("broken_off").cast("bigint").alias("_own")), "blocks")
+    forms = written(blocks.groupBy("form").agg(F.sum("_own").alias("_with"), F.sum(1 - F.col("_own")).alias("_without")).where("_with > 0"), "forms")
     # A form may hold a third of the blocks; forms with a line break are far fewer than texts.
-    known = lookup_join(blocks, forms, ["form"], "left", spread=["block"])
+    known = written(lookup_join(blocks, forms, ["form"], "left", spread=["block"]), "known")
     joined = lookup_join(ends, known, ["form", "block"], "left", spread=["doc_id", "chars"])
     with_break = F.coalesce(F.col("_with") - F.col("_own"), F.lit(0))
     without = F.coalesce(F.col("_without") - (1 - F.col("_own")), F.lit(0))
@@ -322,7 +323,7 @@ def truncated(documents: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     placed, piles = at_piles(ends, e)
     placed = written(placed, "placed")
     found = limits(placed, piles, e).select("source", "unit", "at", "prior")
-    out = lookup_join(placed, transfer_rates(placed, e), ["source"], "left", spread=["doc_id", "chars"])
+    out = lookup_join(placed, written(transfer_rates(placed, e), "rates"), ["source"], "left", spread=["doc_id", "chars"])
     out = lookup_join(out, written(found, "limits"), ["source", "unit", "at"], "left", spread=["doc_id", "block"])
     rate = F.coalesce("rate_prior", F.lit(math.log(e.first_rate / (1 - e.first_rate))))
     posterior = _sigmoid(F.col("evidence") + F.coalesce(F.greatest("prior", rate), rate))
