@@ -84,7 +84,7 @@ _CLOSED = (
 
 def endings(documents: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     """Of each text its lengths, the evidence of its ending but for recurrence, and the form of its last words."""
-    text = F.regexp_replace("text", "\r\n?", "\n")
+    text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     rows = documents.where(F.col("text").isNotNull()).select(
         "doc_id",
         F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"),
