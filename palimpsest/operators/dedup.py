@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.sources.bucketed import BucketedTable
 from palimpsest.sources.versioned import VersionedTable
 
 
@@ -34,7 +35,8 @@ class DeliveryTable:
         self.table, self.schema, self.ident, self.order, self.partition = VersionedTable(spark, path), schema, list(ident), order, partition
         self.spark = spark
         self.stored = T.StructType([*schema.fields, T.StructField("_part", T.StringType())])
-        self.index_schema = T.StructType([T.StructField(f"_i{i}", schema[c].dataType) for i, c in enumerate(self.ident)] + [T.StructField("_part", T.StringType())])
+        keys = [T.StructField(f"_i{i}", schema[c].dataType) for i, c in enumerate(self.ident)]
+        self.index = BucketedTable(spark, f"{path}/index", T.StructType([*keys, T.StructField("_part", T.StringType())]), [f.name for f in keys])
 
     def _ids(self) -> list[Column]:
         return [F.col(f"`{c}`").alias(f"_i{i}") for i, c in enumerate(self.ident)]
@@ -69,7 +71,7 @@ class DeliveryTable:
     def apply(self, batch: DataFrame, batch_id: str) -> int:
         """Apply one batch and return the version that holds it."""
         after = self.table.latest()
-        content = self.table.content(after) or {"parts": {}, "index": [], "unnamed": [], "batches": []}
+        content = self.table.content(after) or {"parts": {}, "unnamed": [], "batches": []}
         if batch_id in content["batches"]:
             return after
         batch = batch.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema))
@@ -77,12 +79,12 @@ class DeliveryTable:
         folder = self._save(self._winners(batch.where(named)))
         incoming = self.table.read([folder], self.stored)
 
-        # The identifier index: which partitions hold an older copy of an incoming message. Identifiers
-        # are distinct on the incoming side, so that no key is hot. Only names of partitions are collected.
-        index = self.table.read(content["index"], self.index_schema)
+        # The identifier index, in buckets that aren't shuffled: which partitions hold an older copy of an incoming
+        # message. It may name more than do, after a lost batch, never less. Identifiers are distinct on the incoming
+        # side, so that no key is hot. Only names of partitions are collected.
+        index = self.index.rows()
         ids = incoming.select(*self._ids())
-        hits = index.join(ids, ids.columns, "left_semi")
-        affected = sorted(r[0] for r in hits.select("_part").distinct().collect()) if content["index"] else []
+        affected = sorted(r[0] for r in index.join(ids.hint("merge"), ids.columns, "left_semi").select("_part").distinct().collect()) if content["parts"] else []
 
         parts: dict[str, list[str]] = {p: list(f) for p, f in content["parts"].items()}
         if affected:
@@ -93,11 +95,14 @@ class DeliveryTable:
         new = self.table.read([folder], self.stored)
         for r in new.select("_part").distinct().collect():
             parts.setdefault(r[0], []).append(folder)
-        entries = new.select(*self._ids(), "_part")
-        added = self.table.write(entries.join(index, entries.columns, "left_anti") if content["index"] else entries)
+        # Entries come before the version that needs them. Joined by identifier alone, by which the index lies in buckets.
+        known = index.select(*ids.columns, F.col("_part").alias("_known")).hint("merge")
+        there = F.max(F.coalesce(F.col("_known") == F.col("_part"), F.lit(False)))
+        entries = new.select(*self._ids(), "_part").join(known, ids.columns, "left").groupBy(*ids.columns, "_part").agg(there.alias("_there"))
+        self.index.append(entries.where("NOT _there").drop("_there"))
         unnamed = self.table.write(batch.where(~named).distinct())
         return self.table.publish(
-            {"parts": parts, "index": [*content["index"], added], "unnamed": [*content["unnamed"], unnamed], "batches": [*content["batches"], batch_id]}, after
+            {"parts": parts, "unnamed": [*content["unnamed"], unnamed], "batches": [*content["batches"], batch_id]}, after
         )
 
 

@@ -63,3 +63,22 @@ def test_empty_and_extra_columns(spark):
     assert t.rows().count() == 0
     t.apply(spark.createDataFrame([(5, "a", 1, None, None)], SCHEMA).withColumn("_part", F.lit("x")), "2")
     assert [tuple(r) for r in t.rows().collect()] == [(5, "a", 1, None, None)]
+
+
+def test_entries_of_a_lost_batch_do_no_harm(spark, rows):
+    data = deliveries(6, 80)
+    t = delivery_table(spark)
+    t.apply(spark.createDataFrame(data[:40], SCHEMA), "1")
+    t.index.append(spark.createDataFrame([("a", 1, "vlost"), ("a", 1, "vd1"), ("b", 77, "vd2")], "_i0 string, _i1 bigint, _part string"))
+    t.apply(spark.createDataFrame(data[40:], SCHEMA), "2")
+    assert rows(t.rows()) == winners(data)
+    first = t.index.rows().groupBy("_i0", "_i1", "_part").count().where("count > 1").collect()
+    assert [(r["_i0"], r["_i1"], r["_part"]) for r in first if r["_part"] != "vd1"] == []
+
+
+def test_the_index_is_not_shuffled(spark):
+    t = delivery_table(spark)
+    t.apply(spark.createDataFrame([(1, "a", 1, "d1", "x")], SCHEMA), "1")
+    ids = spark.createDataFrame([("a", 1)], "_i0 string, _i1 bigint")
+    plan = t.index.rows().join(ids.hint("merge"), ids.columns, "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
