@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import DataType
 
+from palimpsest.sources.bucketed import BucketedTable
+
 
 class KeyLedger:
     """All keys seen so far, each with the position at which it came first.
@@ -31,26 +31,20 @@ class KeyLedger:
     """
 
     def __init__(self, spark: SparkSession, path: str, key_type: DataType | None = None, buckets: int | None = None) -> None:
-        self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"key_ledger_{uuid.uuid4().hex}"
-        self.schema = T.StructType([T.StructField("_key", key_type or T.StringType()), T.StructField("_first", T.LongType())])
-        # The definition lives in this session, the files in the folder: another session that names the same
-        # folder, type and number of buckets continues the ledger.
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.schema)
-        spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (_key) SORTED BY (_key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
-
-    def _append(self, firsts: DataFrame) -> None:
-        firsts.write.mode("append").format("parquet").bucketBy(self.buckets, "_key").sortBy("_key").option("path", self.path).saveAsTable(self.name)
+        schema = T.StructType([T.StructField("_key", key_type or T.StringType()), T.StructField("_first", T.LongType())])
+        self.table = BucketedTable(spark, path, schema, ["_key"], buckets)
+
+    @property
+    def path(self) -> str:
+        return self.table.path
 
     def history(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        return self.table.rows()
 
     def seed(self, keys: DataFrame, key: str) -> None:
         """Keys known before the first position."""
         known = keys.select(F.col(f"`{key}`").alias("_key")).where("_key IS NOT NULL").distinct()
-        self._append(known.withColumn("_first", F.lit(-(2**63)).cast("bigint")))
+        self.table.append(known.withColumn("_first", F.lit(-(2**63)).cast("bigint")))
 
     def add(self, batch: DataFrame, key: str, position: str) -> None:
         """Append the keys of ``batch`` that the history lacks, each with its first position in the batch."""
@@ -58,7 +52,7 @@ class KeyLedger:
         # Rank 1 within the batch by arrival; the partial aggregate leaves one row per key and task.
         firsts = batch.where(k.isNotNull()).groupBy(k.alias("_key")).agg(F.min(p).alias("_first"))
         history = self.history().select("_key", F.col("_first").alias("_known")).hint("merge")
-        self._append(firsts.join(history, "_key", "left").where("_known IS NULL OR _first < _known").select("_key", "_first").distinct())
+        self.table.append(firsts.join(history, "_key", "left").where("_known IS NULL OR _first < _known").select("_key", "_first").distinct())
 
     def first_arrivals(self) -> DataFrame:
         """The smallest position known of each key."""
