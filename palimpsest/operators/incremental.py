@@ -40,7 +40,8 @@ class IncrementalTarget:
         condition = same[0]
         for c in same[1:]:
             condition = condition & c
-        return source.dropDuplicates(self.id_columns).join(done, condition, "left_anti")
+        # What is pending is little beside the source, so repeats go after the join.
+        return source.join(done, condition, "left_anti").dropDuplicates(self.id_columns)
 
     def publish(self, output: DataFrame, after: int | None = None) -> int:
         """Write ``output`` and publish it, on top of version ``after`` (else the latest), as the next version."""
