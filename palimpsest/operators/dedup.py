@@ -32,6 +32,8 @@ class DeliveryTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, ident: Sequence[str], order: str, partition: Column) -> None:
+        if "_part" in schema.names:
+            raise ValueError("_part is the table's own column")
         self.table, self.schema, self.ident, self.order, self.partition = VersionedTable(spark, path), schema, list(ident), order, partition
         self.spark = spark
         self.stored = T.StructType([*schema.fields, T.StructField("_part", T.StringType())])

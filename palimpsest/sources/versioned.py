@@ -131,7 +131,8 @@ class VersionedTable:
     def read(self, folders: Iterable[str], schema: T.StructType) -> DataFrame:
         paths = [f"{self.path}/{f}" for f in folders]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            # The optimizer drops what is never true, a union with it too.
+            return self.spark.createDataFrame([], schema).where("false")
         return self.spark.read.schema(schema).parquet(*paths)
 
     def vacuum(self, named: Iterable[str], keep_versions: int = 1) -> list[str]:
