@@ -16,8 +16,11 @@ def sizing(files: DataFrame, rate: float, file: str = "file_no") -> DataFrame:
 
 
 def _spread(keys: DataFrame) -> DataFrame:
-    """Rows that are few but each become several hashes: over all shuffle partitions, so that they aren't put into few tasks by their size."""
-    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys.columns)
+    """Distinct keys, few but each about to become several hashes, over all shuffle partitions, not put into few tasks by their size.
+
+    By the columns in reverse, as a repartition like that of the aggregate below it would be dropped.
+    """
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *reversed(keys.columns))
 
 
 def build(files: DataFrame, sizes: DataFrame, file: str = "file_no") -> DataFrame:
