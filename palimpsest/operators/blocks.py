@@ -8,7 +8,8 @@ block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,9 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.session import written
 
+#: Rows of transfer tables that come to the driver at once.
+COLLECTED_ROWS = 500_000
+
 
 def in_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, with ``_block`` and ``_row``, the row's number in it from 0.
@@ -66,11 +70,10 @@ class CloseAfter:
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
-    def end(self, cum: np.ndarray, start: int, entry: int = 0) -> int | None:
-        """Where the group ends that starts at row ``start``, with ``entry`` already in it; None if not in this block."""
-        base = cum[start - 1] if start else 0
-        j = int(np.searchsorted(cum, self.limit + base - entry, side="left"))
-        return j + 1 if j < len(cum) else None
+    def ends(self, cum: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Where groups end that start at ``starts`` with ``entries`` already in them; above len(cum) if not in this block."""
+        base = np.append(0, cum)[starts]
+        return np.searchsorted(cum, self.limit + base - entries, side="left") + 1
 
     def entries(self, cum: np.ndarray) -> np.ndarray:
         """Sizes of the open group from which on it ends at another row."""
@@ -83,12 +86,12 @@ class OpenBefore:
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
-    def end(self, cum: np.ndarray, start: int, entry: int = 0) -> int | None:
-        base = cum[start - 1] if start else 0
-        j = int(np.searchsorted(cum, self.limit + base - entry, side="right"))
-        if j <= start and not entry:
-            j = start + 1
-        return j if j < len(cum) else None
+    def ends(self, cum: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        base = np.append(0, cum)[starts]
+        ends = np.searchsorted(cum, self.limit + base - entries, side="right")
+        ends = np.where((ends <= starts) & (entries == 0), starts + 1, ends)
+        # A group that reaches the end of the block may go on.
+        return np.where(ends >= len(cum), len(cum) + 1, ends)
 
     def entries(self, cum: np.ndarray) -> np.ndarray:
         return np.unique(np.append(self.limit - cum[cum < self.limit] + 1, (0, 1)))
@@ -96,56 +99,63 @@ class OpenBefore:
 
 def _ends(rule: CloseAfter | OpenBefore, cum: np.ndarray, entry: int) -> list[int]:
     """Where the groups of a block end, given the size of the group that is open at its start."""
-    ends, end = [], rule.end(cum, 0, entry)
-    while end is not None:
+    ends, start, size = [], 0, entry
+    while start < len(cum) or not ends:
+        end = int(rule.ends(cum, np.array([start]), np.array([size]))[0])
+        if end > len(cum):
+            break
         ends.append(end)
-        end = rule.end(cum, end) if end < len(cum) else None
+        start, size = end, 0
     return ends
 
 
 def _transfer(rule: CloseAfter | OpenBefore, cum: np.ndarray) -> list[tuple[int, int, int, bool]]:
     """What a block does to the open group, as (entry from, exit, groups ended, exit moves with the entry).
 
-    Groups that start alike end alike, so each start is followed once; as most
-    entries soon lead to the same starts, the table is short.
+    Groups that start alike end alike. Each start is followed to the last group of the
+    block by doubling: from a start's next start to the one after that, and so on. As
+    most entries soon lead to the same starts, the table is short.
     """
-    after: dict[int, tuple[int, int]] = {}  # start of a group -> size open at the end, groups ended from there on
-
-    def follow(start: int) -> tuple[int, int]:
-        path = []
-        while start not in after:
-            end = rule.end(cum, start) if start < len(cum) else None
-            if end is None:
-                after[start] = (int(cum[-1] - (cum[start - 1] if start else 0)), 0)
-            else:
-                path.append(start)
-                start = end
-        size, ended = after[start]
-        for s in reversed(path):
-            ended += 1
-            after[s] = (size, ended)
-        return size, ended
-
-    table: list[tuple[int, int, int, bool]] = []
-    for entry in rule.entries(cum).tolist():
-        end = rule.end(cum, 0, entry)
-        if end is None:
-            row = (entry, int(cum[-1]), 0, True)
-        else:
-            size, ended = follow(end)
-            row = (entry, size, ended + 1, False)
-        if not table or row[1:] != table[-1][1:]:
-            table.append(row)
-    return table
+    n = len(cum)
+    starts = np.arange(n + 1)
+    after = rule.ends(cum, starts, np.zeros(n + 1, dtype=np.int64))
+    goes_on = (after <= n) & (starts < n)
+    last, ended = np.where(goes_on, after, starts), goes_on.astype(np.int64)
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        ended, last = ended + ended[last], further
+    entries = rule.entries(cum)
+    first = rule.ends(cum, np.zeros(len(entries), dtype=np.int64), entries)
+    moves = first > n
+    start = np.where(moves, 0, first)
+    sizes = np.where(moves, cum[-1], (cum[-1] - np.append(0, cum))[last[start]])
+    counts = np.where(moves, 0, ended[start] + 1)
+    rows = np.stack([sizes, counts, moves.astype(np.int64)])
+    new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))
+    return [(int(e), int(x), int(c), bool(m)) for e, x, c, m in zip(entries[new], sizes[new], counts[new], moves[new], strict=True)]
+
+
+def _in_order(tables: DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The transfer tables block after block. Long ones, where groups are as large as blocks, come piecemeal."""
+    few = tables.limit(COLLECTED_ROWS + 1).toPandas()
+    if len(few) <= COLLECTED_ROWS:
+        for block, table in few.sort_values(["block", "entry"]).groupby("block"):
+            yield int(block), table
+        return
+    ordered = written(tables, "transfer").orderBy("block", "entry").toLocalIterator(prefetchPartitions=True)
+    for block, rows in groupby(ordered, key=lambda r: r["block"]):
+        yield block, pd.DataFrame([r.asDict() for r in rows])
 
 
 def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAfter | OpenBefore, name: str) -> DataFrame:
     """``df`` with the number of the group, from 0, and ``_sealed``: whether the group has ended.
 
     Equal to going through all rows in ``order`` one by one. Every block tells how
-    each size of the group open at its start turns out at its end; these short tables
-    are chained on the driver, a few numbers per block, and the blocks are then cut
-    with the size that they really start with. Null and negative sizes count 0.
+    each size of the group open at its start turns out at its end; these tables, short
+    where a block has many groups, are chained on the driver, which keeps a few numbers
+    per block, and the blocks are then cut with the size that they really start with. Null and negative sizes count 0.
     """
     amount = F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0))
     blocks = in_blocks(df.withColumn("_size", amount), order)
@@ -155,18 +165,17 @@ def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAft
         rows = [(int(pdf["_block"].iloc[0]), *r) for r in _transfer(rule, cum)]
         return pd.DataFrame(rows, columns=["block", "entry", "exit", "ended", "moves"])
 
-    chain: dict[int, list[tuple[int, int, int, bool]]] = {}
-    for r in blocks.select("_block", "_row", "_size").groupBy("_block").applyInPandas(tables, "block int, entry bigint, exit bigint, ended bigint, moves boolean").toLocalIterator():
-        chain.setdefault(r["block"], []).append((r["entry"], r["exit"], r["ended"], r["moves"]))
+    schema = "block int, entry bigint, exit bigint, ended bigint, moves boolean"
+    found = blocks.select("_block", "_row", "_size").groupBy("_block").applyInPandas(tables, schema)
     starts, open_size, groups = {}, 0, 0
-    for block in sorted(chain):
+    for block, table in _in_order(found):
         starts[block] = (open_size, groups)
-        _, out, ended, moves = max(row for row in chain[block] if row[0] <= open_size)
-        open_size, groups = (open_size + out if moves else out), groups + ended
+        row = table.iloc[int(table["entry"].searchsorted(open_size, side="right")) - 1]
+        open_size, groups = int(row["exit"]) + (open_size if row["moves"] else 0), groups + int(row["ended"])
     # The last group of all rows has ended only if it was closed by a row.
     last = groups if isinstance(rule, CloseAfter) else None
 
-    schema = T.StructType([f for f in blocks.schema.fields if f.name not in ("_block", "_row", "_size")] + [T.StructField(name, T.LongType()), T.StructField("_sealed", T.BooleanType())])
+    result = T.StructType([f for f in blocks.schema.fields if f.name not in ("_block", "_row", "_size")] + [T.StructField(name, T.LongType()), T.StructField("_sealed", T.BooleanType())])
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
@@ -175,9 +184,9 @@ def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAft
         # OpenBefore counts the group open at the very start as one even while it is empty.
         pdf[name] = first + np.searchsorted(np.array(ends, dtype=np.int64), np.arange(len(pdf)), side="right")
         pdf["_sealed"] = True if last is None else pdf[name] < last
-        return pdf[[f.name for f in schema]]
+        return pdf[[f.name for f in result]]
 
-    return blocks.groupBy("_block").applyInPandas(assign, schema)
+    return blocks.groupBy("_block").applyInPandas(assign, result)
 
 
 def next_in_key(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1_000_000, previous: bool = False) -> DataFrame:

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows, and bytes of them as JSON, that a lookup side may have to be broadcast.
+#: Rows, and bytes of them, that a lookup side may have to be broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32_000_000
 SALTS = 16
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: of texts as they are, 8 for a number or time, of nested values as JSON."""
+    total = F.lit(0).cast("bigint")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -33,7 +47,7 @@ def lookup_join(
     Null keys match nothing; repeated keys of ``lookup`` repeat rows, as in any join.
     """
     on = list(on)
-    measured = lookup.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in lookup.columns)))).cast("bigint").alias("b"))
+    measured = lookup.limit(max_rows + 1).select(_row_bytes(lookup).alias("b"))
     count, size = measured.agg(F.count("*"), F.sum("b")).first()
     if count <= max_rows and (size or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup), on, how)

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from palimpsest.operators import blocks
 from palimpsest.operators.blocks import CloseAfter, OpenBefore, _ends, _transfer, greedy_groups, next_in_key, with_position, with_running_sum
 
 
@@ -25,19 +27,21 @@ def one_by_one(rule, sizes):
 
 @settings(max_examples=300, deadline=None)
 @given(st.sampled_from([CloseAfter, OpenBefore]), st.integers(1, 40), st.lists(st.lists(st.integers(1, 30), min_size=1, max_size=20), min_size=1, max_size=5))
-def test_blocks_chain_to_the_sequential_fold(kind, limit, blocks):
+def test_blocks_chain_to_the_sequential_fold(kind, limit, parts):
     rule, open_size, groups, got = kind(limit), 0, 0, []
-    for b in blocks:
+    for b in parts:
         cum = np.cumsum(b)
         ends = _ends(rule, cum, open_size)
         got += (groups + np.searchsorted(np.array(ends, dtype=np.int64), np.arange(len(b)), side="right")).tolist()
         _, out, ended, moves = max(r for r in _transfer(rule, cum) if r[0] <= open_size)
         assert ended == len(ends)
         open_size, groups = (open_size + out if moves else out), groups + ended
-    assert got == one_by_one(rule, [w for b in blocks for w in b])
+    assert got == one_by_one(rule, [w for b in parts for w in b])
 
 
-def test_greedy_groups_over_partitions(spark):
+@pytest.mark.parametrize("collected", [500_000, 1])
+def test_greedy_groups_over_partitions(spark, monkeypatch, collected):
+    monkeypatch.setattr(blocks, "COLLECTED_ROWS", collected)
     rng = random.Random(0)
     sizes = [rng.randint(1, 50) for _ in range(700)]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i bigint, size int").repartition(5)
