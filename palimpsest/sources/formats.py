@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions.records import record_line, sstable_payload
 from palimpsest.operators.integrity import require_valid, segment_number
 
-_HEAD = struct.Struct("<BQI")
-_U32 = struct.Struct("<I")
+# Formats of a payload's head (operation, sequence, key length) and of a length; kept as text, which travels to executors.
+_HEAD, _U32 = "<BQI", "<I"
+_HEAD_SIZE = struct.calcsize(_HEAD)
 _NAMES = ("SET", "DELETE")
 
 
@@ -22,17 +23,17 @@ def decode_wal(data: bytes) -> Iterator[tuple[str, int, str, str | None]]:
     """The records of a segment up to the first that is torn or whose checksum is wrong; what follows it is never read."""
     at = 0
     while at + 4 <= len(data):
-        (size,) = _U32.unpack_from(data, at)
+        (size,) = struct.unpack_from(_U32, data, at)
         payload, crc = data[at + 4 : at + 4 + size], data[at + 4 + size : at + 8 + size]
-        if len(payload) < size or len(crc) < 4 or size < _HEAD.size or _U32.unpack(crc)[0] != zlib.crc32(payload):
+        if len(payload) < size or len(crc) < 4 or size < _HEAD_SIZE or struct.unpack(_U32, crc)[0] != zlib.crc32(payload):
             return
-        kind, seq, key_size = _HEAD.unpack_from(payload)
-        end = _HEAD.size + key_size
+        kind, seq, key_size = struct.unpack_from(_HEAD, payload)
+        end = _HEAD_SIZE + key_size
         value = None
         if kind == 0:
-            (value_size,) = _U32.unpack_from(payload, end)
+            (value_size,) = struct.unpack_from(_U32, payload, end)
             value = payload[end + 4 : end + 4 + value_size].decode()
-        yield _NAMES[kind], seq, payload[_HEAD.size : end].decode(), value
+        yield _NAMES[kind], seq, payload[_HEAD_SIZE:end].decode(), value
         at += 8 + size
 
 
