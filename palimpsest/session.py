@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SCOPES: list[list[str]] = []
 
 
 def local_session(app: str = "palimpsest", cpus: str = "*", memory: str = "8g") -> SparkSession:
@@ -50,9 +53,17 @@ def _remove_own() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's."""
+    return f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +73,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`written` and :func:`scratch_path` made inside, for instance all that one query wrote, once its result is safe."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete everything that :func:`written` and :func:`scratch_path` made in the shared folder; call it when no DataFrame of theirs is in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application wrote to the shared folder; other applications' files stay. Call it when no DataFrame of it is in use."""
+    _delete(spark, _scratch(spark))

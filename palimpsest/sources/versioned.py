@@ -31,6 +31,21 @@ def _canonical(content: dict) -> bytes:
     return json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
 
+def applied(mark: dict, batch: int) -> bool:
+    """Whether ``batch``, numbered from 0, is among those that ``mark`` remembers."""
+    return batch <= mark.get("upto", -1) or batch in mark.get("beyond", ())
+
+
+def with_applied(mark: dict, batch: int) -> dict:
+    """``mark`` with ``batch``: the number up to which all were applied, and those beyond it, so that batches in order need no list."""
+    if batch < 0:
+        raise ValueError("batches are numbered from 0")
+    upto, beyond = mark.get("upto", -1), {*mark.get("beyond", ()), batch}
+    while upto + 1 in beyond:
+        upto += 1
+    return {"upto": upto, "beyond": sorted(b for b in beyond if b > upto)}
+
+
 class Files:
     """The few file operations that are needed, through Hadoop, on any file system."""
 
@@ -76,6 +91,9 @@ class Files:
         p = self._path(path)
         return self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
 
+    def exists(self, path: str) -> bool:
+        return bool(self._fs.exists(self._path(path)))
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -136,11 +154,21 @@ class VersionedTable:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def vacuum(self, named: Iterable[str], keep_versions: int = 1) -> list[str]:
-        """Delete old version files and the data folders that are not in ``named``; call it when no reader holds them."""
-        keep = {f.split("/")[1] for f in named}
-        gone = [n for n in self.files.names(f"{self.path}/data") if n not in keep]
+        """Delete the data that is not in ``named`` (folders, or parts of folders), and all version files but the last ``keep_versions`` (0 keeps all); call it when no reader holds them."""
+        parts: dict[str, set[str]] = {}
+        for f in named:
+            _, folder, *part = f.split("/", 2)
+            parts.setdefault(folder, set()).update(part)
+        gone = [n for n in self.files.names(f"{self.path}/data") if n not in parts]
+        for folder, kept in parts.items():
+            if kept:
+                gone += [f"{folder}/{n}" for n in self.files.names(f"{self.path}/data/{folder}") if "=" in n and n not in kept]
         for n in gone:
             self.files.delete(f"{self.path}/data/{n}")
-        for v in self.versions()[: -keep_versions or None]:
+        for v in self.versions()[:-keep_versions] if keep_versions else []:
             self.files.delete(f"{self.path}/versions/{v:012d}.json")
         return gone
+
+    def missing(self, named: Iterable[str]) -> list[str]:
+        """Those of ``named`` that aren't there."""
+        return sorted(f for f in named if not self.files.exists(f"{self.path}/{f}"))

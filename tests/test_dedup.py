@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ def test_batches_in_and_out_of_order_keep_the_first_delivery(spark, rows):
     for batches in ([data[:70], data[70:140], data[140:]], [data[140:], data[:70], data[70:140]]):
         t = delivery_table(spark)
         for n, b in enumerate(batches):
-            t.apply(spark.createDataFrame(b, SCHEMA), str(n))
+            t.apply(spark.createDataFrame(b, SCHEMA), n)
         assert rows(t.rows()) == winners(data)
         kept = {r[0] for r in winners(data)}
         assert {r["id"] for r in surplus(spark.createDataFrame(data, SCHEMA), t, "id").collect()} == set(range(200)) - kept
@@ -40,17 +41,17 @@ def test_batches_in_and_out_of_order_keep_the_first_delivery(spark, rows):
 def test_a_batch_applied_twice_changes_nothing(spark, rows):
     data = deliveries(4, 60)
     t = delivery_table(spark)
-    v = t.apply(spark.createDataFrame(data, SCHEMA), "one")
-    assert t.apply(spark.createDataFrame(data, SCHEMA), "one") == v
-    t.apply(spark.createDataFrame(data, SCHEMA), "the same under another name")
+    v = t.apply(spark.createDataFrame(data, SCHEMA), 0)
+    assert t.apply(spark.createDataFrame(data, SCHEMA), 0) == v
+    t.apply(spark.createDataFrame(data, SCHEMA), 7)
     assert rows(t.rows().where("msg IS NOT NULL")) == [r for r in winners(data) if r[2] is not None]
 
 
 def test_only_affected_partitions_are_replaced(spark):
     t = delivery_table(spark)
-    t.apply(spark.createDataFrame([(1, "a", 1, "d1", "x"), (2, "a", 2, "d2", "x")], SCHEMA), "1")
+    t.apply(spark.createDataFrame([(1, "a", 1, "d1", "x"), (2, "a", 2, "d2", "x")], SCHEMA), 0)
     before = t.table.content()["parts"]
-    t.apply(spark.createDataFrame([(3, "a", 2, "d3", "y")], SCHEMA), "2")
+    t.apply(spark.createDataFrame([(3, "a", 2, "d3", "y")], SCHEMA), 1)
     after = t.table.content()["parts"]
     assert after["vd1"] == before["vd1"] and after["vd2"] != before["vd2"]
     assert {r["id"] for r in t.rows().collect()} == {1, 2}
@@ -59,26 +60,60 @@ def test_only_affected_partitions_are_replaced(spark):
 
 def test_empty_and_extra_columns(spark):
     t = delivery_table(spark)
-    t.apply(spark.createDataFrame([], SCHEMA).withColumn("_part", F.lit("x")).withColumn("_row", F.lit(1)), "1")
+    t.apply(spark.createDataFrame([], SCHEMA).withColumn("_part", F.lit("x")).withColumn("_row", F.lit(1)), 0)
     assert t.rows().count() == 0
-    t.apply(spark.createDataFrame([(5, "a", 1, None, None)], SCHEMA).withColumn("_part", F.lit("x")), "2")
+    t.apply(spark.createDataFrame([(5, "a", 1, None, None)], SCHEMA).withColumn("_part", F.lit("x")), 1)
     assert [tuple(r) for r in t.rows().collect()] == [(5, "a", 1, None, None)]
 
 
-def test_entries_of_a_lost_batch_do_no_harm(spark, rows):
+def test_a_lost_batch_leaves_nothing_that_counts(spark, rows, monkeypatch):
     data = deliveries(6, 80)
     t = delivery_table(spark)
-    t.apply(spark.createDataFrame(data[:40], SCHEMA), "1")
-    t.index.append(spark.createDataFrame([("a", 1, "vlost"), ("a", 1, "vd1"), ("b", 77, "vd2")], "_i0 string, _i1 bigint, _part string"))
-    t.apply(spark.createDataFrame(data[40:], SCHEMA), "2")
+    t.apply(spark.createDataFrame(data[:40], SCHEMA), 0)
+    monkeypatch.setattr(t.table, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        t.apply(spark.createDataFrame(data[40:], SCHEMA), 1)
+    monkeypatch.undo()
+    assert rows(t.rows()) == winners(data[:40])
+    t.apply(spark.createDataFrame(data[40:], SCHEMA), 1)
     assert rows(t.rows()) == winners(data)
-    first = t.index.rows().groupBy("_i0", "_i1", "_part").count().where("count > 1").collect()
-    assert [(r["_i0"], r["_i1"], r["_part"]) for r in first if r["_part"] != "vd1"] == []
+    t.vacuum()
+    assert rows(t.rows()) == winners(data)
+
+
+def test_many_small_batches_and_another_number_of_shuffle_partitions(spark, rows):
+    """The number of buckets is the table's; runs of the index are merged; batches in order need no list."""
+    data = deliveries(8, 180)
+    made = delivery_table(spark)
+    for n in range(9):
+        spark.conf.set("spark.sql.shuffle.partitions", 2 + n % 4)
+        try:
+            again = DeliveryTable(spark, made.table.path, SCHEMA, ["who", "msg"], "id", F.col("day"))
+            again.apply(spark.createDataFrame(data[20 * n : 20 * n + 20], SCHEMA), n)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert rows(again.rows()) == winners(data)
+    content = again.table.content()
+    assert content["batches"] == {"upto": 8, "beyond": []} and len(content["runs"]) < 9 and content["index"]["buckets"] == again.index.buckets == 2
+    with pytest.raises(ValueError, match="defined as"):
+        made.apply(spark.createDataFrame(data, SCHEMA), 99)  # made when the table didn't exist, under another setting
+    with pytest.raises(ValueError, match="defined as"):
+        DeliveryTable(spark, made.table.path, SCHEMA, ["who"], "id", F.col("day"))
+    with pytest.raises(ValueError, match="defined as"):
+        DeliveryTable(spark, made.table.path, SCHEMA, ["who", "msg"], "id", F.col("day"), buckets=3)
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("run_")]
 
 
 def test_the_index_is_not_shuffled(spark):
     t = delivery_table(spark)
-    t.apply(spark.createDataFrame([(1, "a", 1, "d1", "x")], SCHEMA), "1")
-    ids = spark.createDataFrame([("a", 1)], "_i0 string, _i1 bigint")
-    plan = t.index.rows().join(ids.hint("merge"), ids.columns, "left_semi")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    t.apply(spark.createDataFrame([(1, "a", 1, "d1", "x")], SCHEMA), 0)
+    for partitions in (2, 4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            ids = t.index.aligned(spark.createDataFrame([("a", 1)], "_i0 string, _i1 bigint").groupBy("_i0", "_i1").count())
+            for run in t.index.each(t.table.content()["runs"]):
+                ids = ids.join(run.hint("merge"), t.index.by, "left")
+            text = ids._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert "SortMergeJoin" in text and "Exchange" not in text[text.index("Scan parquet") - 300 :], text

@@ -36,3 +36,17 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_a_scope_deletes_what_was_written_in_it_and_nothing_else(spark):
+    kept = session.written(spark.range(3), "kept")
+    with session.scratch_scope(spark):
+        df = session.written(spark.range(3), "x")
+        assert df.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        df.count()
+    assert kept.count() == 3
+    other = f"{session.shared_dir(spark)}/palimpsest/another-application/x"
+    spark.range(1).write.parquet(other)
+    session.clear_scratch(spark)
+    assert spark.read.parquet(other).count() == 1
