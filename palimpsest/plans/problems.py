@@ -11,11 +11,11 @@ from palimpsest.operators.dedup import DeliveryTable, surplus
 from palimpsest.operators.diff import diff_tagged
 from palimpsest.operators.incremental import IncrementalTarget
 from palimpsest.operators.joins import lookup_join
-from palimpsest.plans.tables import table
-from palimpsest.session import scratch_path
+from palimpsest.plans.tables import in_batches, table
+from palimpsest.session import scratch_path, written
 
-#: Batches in which the deliveries of a table are applied.
-DELIVERY_BATCHES = 4
+#: Deliveries that are applied in one batch, at most, and the least number of batches.
+DELIVERY_BATCH, DELIVERY_BATCHES = 2_000_000, 4
 
 
 # --- 2: applying a change feed
@@ -48,6 +48,7 @@ def common_snapshots(chunks: DataFrame) -> DataFrame:
         .groupBy("store_id")
         .agg(F.max("index").alias("index"))
     )
+    both = written(both, "common")  # a row per store
     held = lookup_join(chunks.select("store_id", "index", "node_role", "data"), both, ["store_id", "index"], "left_semi", spread=["data"])
     return held.select("store_id", "node_role", F.explode(F.from_json("data", "map<string,string>")).alias("row_key", "value"))
 
@@ -72,59 +73,90 @@ def _address(url: Column) -> Column:
     return F.lower(F.regexp_replace(url, "/$", ""))
 
 
-def follower_bases(states: DataFrame) -> DataFrame:
-    """Followers of each store with the index confirmed by, and the start of, their base run; both null without one."""
-    ok = states.where(F.lower("outcome") == "ok")
-    last = ok.where("run_no IS NOT NULL").groupBy("store_id").agg(F.max(F.struct("run_no", "leader", "nodes")).alias("run"))
-    followers = (
+#: Publishes in which the shipping runs are replayed: each covers the next part of the run numbers.
+REPLAYS = 4
+
+_SHIPMENT = [("store_id", "bigint"), ("node_url", "string"), ("index", "bigint")]
+
+
+def followers(states: DataFrame) -> DataFrame:
+    """The followers of each store, from its successful run with the highest number."""
+    last = states.where("lower(outcome) = 'ok' AND run_no IS NOT NULL").groupBy("store_id").agg(F.max(F.struct("run_no", "leader", "nodes")).alias("run"))
+    return (
         last.select("store_id", F.col("run.leader").alias("leader"), F.explode("run.nodes").alias("node_url"))
         .where("node_url IS NOT NULL AND NOT (node_url <=> leader)")
         .select("store_id", "node_url", _address(F.col("node_url")).alias("address"))
         .distinct()
     )
-    confirmed = ok.select("store_id", "run_no", "started_at", F.explode("follower_indices").alias("url", "confirmed")).where("confirmed IS NOT NULL")
-    base = (
+
+
+def bases(states: DataFrame) -> DataFrame:
+    """Of each store and address the index confirmed by, and the start of, the last successful run that gives it a number."""
+    confirmed = states.where("lower(outcome) = 'ok'").select("store_id", "run_no", "started_at", F.explode("follower_indices").alias("url", "confirmed")).where("confirmed IS NOT NULL")
+    return (
         confirmed.groupBy("store_id", _address(F.col("url")).alias("address"))
         .agg(F.max(F.struct("run_no", "confirmed", "started_at")).alias("base"))
         .select("store_id", "address", F.col("base.confirmed").alias("confirmed"), F.col("base.started_at").alias("base_started_at"))
     )
-    return followers.join(base, ["store_id", "address"], "left").drop("address")
 
 
-def shipments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every leader's entry for every follower of its store, with its version (the first time it was appended)."""
+def shipments(entries: DataFrame, receivers: DataFrame) -> DataFrame:
+    """Every entry for every follower of its store. Entries of a store are met by that store's few followers."""
+    return lookup_join(entries, receivers, ["store_id"], spread=["index"])
+
+
+def shipped_by_runs(spark: SparkSession, entries: DataFrame, states: DataFrame, receivers: DataFrame) -> IncrementalTarget:
+    """The target of the shipping runs, replayed in order of their numbers: what a successful run confirms is published as output, a run that did not succeed leaves nothing.
+
+    Every publish covers the next part of the run numbers and reads of the source only
+    what its runs confirm beyond the runs before. A follower whose later run confirms
+    less than an earlier one has the rest retracted: its last run decides.
+    """
+    target = IncrementalTarget(spark, scratch_path(spark, "shipped"), _SHIPMENT, ("first_appended_at", "timestamp_ntz"))
+    low, high = states.agg(F.min("run_no"), F.max("run_no")).first()
+    if low is None:
+        return target
+    on = ["store_id", "address"]
+    before = receivers.withColumns({"was": F.lit(None).cast("bigint"), "was_started_at": F.lit(None).cast("timestamp_ntz")})
+    for i in range(1, REPLAYS + 1):
+        upto = low + (high - low + 1) * i // REPLAYS - 1
+        now = written(before.join(bases(states.where(F.col("run_no") <= upto)), on, "left"), "bases")  # a row per follower
+        less = now.where("confirmed < was OR base_started_at < was_started_at")
+        if not less.isEmpty():
+            back = less.select("store_id", "node_url", "confirmed", "base_started_at")
+            target.retract(lambda rows, back=back: lookup_join(rows, back, ["store_id", "node_url"], "left", spread=["index"]).where(f"confirmed IS NULL OR ({_COVERED})"))
+        new = shipments(entries, now.where("confirmed IS NOT NULL")).where(f"{_COVERED} AND NOT coalesce({_COVERED_BEFORE}, false)")
+        target.run(new)
+        before = now.select("store_id", "node_url", "address", F.col("confirmed").alias("was"), F.col("base_started_at").alias("was_started_at"))
+    return target
+
+
+# A run that doesn't say when it began can't tell that an entry came after it.
+_COVERED = "index <= confirmed AND NOT coalesce(first_appended_at > base_started_at, false)"
+_COVERED_BEFORE = "index <= was AND NOT coalesce(first_appended_at > was_started_at, false)"
+
+
+def _shipping(spark: SparkSession, sf: str) -> tuple[DataFrame, IncrementalTarget]:
+    """The source, every leader's entry with its version (the first time it was appended) for every follower, and the target of the runs so far."""
+    states = table(spark, sf, "raft_state")
     entries = (
         table(spark, sf, "replication_log")
         .where((F.col("node_role") == "leader") & F.col("index").isNotNull())
         .groupBy("store_id", "index")
         .agg(F.min("appended_at").alias("first_appended_at"))
     )
-    return lookup_join(entries, follower_bases(table(spark, sf, "raft_state")), ["store_id"], spread=["index"])
-
-
-def shipping_target(spark: SparkSession, sent: DataFrame) -> IncrementalTarget:
-    """The target of the shipping runs so far: what they confirmed, as its first version."""
-    target = IncrementalTarget(
-        spark,
-        scratch_path(spark, "shipped"),
-        [("store_id", "bigint"), ("node_url", "string"), ("index", "bigint")],
-        ("first_appended_at", "timestamp_ntz"),
-    )
-    target.publish(sent)
-    return target
+    entries, receivers = written(entries, "entries"), written(followers(states), "followers")
+    return shipments(entries, receivers).drop("address"), shipped_by_runs(spark, entries, states, receivers)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    source = shipments(spark, sf)
-    sent = source.where("index <= confirmed AND NOT coalesce(first_appended_at > base_started_at, false)")
-    return shipping_target(spark, sent).pending(source).select("store_id", "node_url", "index")
+    source, target = _shipping(spark, sf)
+    return target.pending(source).select("store_id", "node_url", "index")
 
 
 def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Rows pending before the next run, after a run that failed before publishing, and after one that published."""
-    source = shipments(spark, sf)
-    sent = source.where("index <= confirmed AND NOT coalesce(first_appended_at > base_started_at, false)")
-    target = shipping_target(spark, sent)
+    source, target = _shipping(spark, sf)
 
     def pending(step: str) -> DataFrame:
         return target.pending(source).agg(F.count("*").alias("pending")).select(F.lit(step).alias("step"), "pending")
@@ -141,15 +173,11 @@ def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
 _REQUEST = "delivery_id bigint, store_id bigint, node_url string, batch_no bigint, index bigint, operation string, key string, value string, received_at timestamp_ntz"
 
 
-def delivered(spark: SparkSession, sf: str, batches: int = DELIVERY_BATCHES) -> DeliveryTable:
-    """All deliveries applied in order of receipt, in ``batches`` batches, partitioned by day of receipt."""
-    rows = table(spark, sf, "replicate_request")
+def delivered(spark: SparkSession, sf: str) -> DeliveryTable:
+    """All deliveries applied in batches in order of receipt, partitioned by day of receipt."""
     kept = DeliveryTable(spark, scratch_path(spark, "deliveries"), T.DataType.fromDDL(_REQUEST), ["store_id", "node_url", "index"], "delivery_id", F.to_date("received_at"))
-    low, high = rows.agg(F.min("delivery_id"), F.max("delivery_id")).first()
-    if low is not None:
-        step = (high - low) // batches + 1
-        for b in range(batches):
-            kept.apply(rows.where(F.col("delivery_id").between(low + b * step, low + (b + 1) * step - 1)), f"{b}")
+    for b, batch in enumerate(in_batches(table(spark, sf, "replicate_request"), "delivery_id", DELIVERY_BATCH, DELIVERY_BATCHES)):
+        kept.apply(batch, b)
     return kept
 
 

@@ -9,12 +9,28 @@ from palimpsest.config import EngineConfig
 from palimpsest.operators.compaction import compact
 from palimpsest.operators.layout import compaction_chunks, flush_batches
 from palimpsest.operators.mvcc import cells_from_mutations
+from palimpsest.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(rows: DataFrame, position: str, size: int, least: int) -> list[DataFrame]:
+    """``rows`` in order of ``position``, a whole number, in ranges of it: at least ``least``, and more where a range would hold more than about ``size`` rows.
+
+    A null position comes in the last batch. Nothing at all is one empty batch.
+    """
+    p = F.col(f"`{position}`")
+    low, high, n = rows.agg(F.min(p), F.max(p), F.count("*")).first()
+    if low is None:
+        return [rows]
+    count = max(least, -(-n // size))
+    step = (high - low) // count + 1
+    bounds = [(low + b * step, low + (b + 1) * step - 1) for b in range(count)]
+    return [rows.where(p.between(a, z) | p.isNull() if z >= high and a <= high else p.between(a, z)) for a, z in bounds]
+
+
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mutation log derived from ``events``: seq, op, key, value."""
     deleted = F.col("event_type") == "error"
@@ -50,7 +66,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     The older half of the sealed batches is compacted into level 1, whose files are
     chunks of keys; every other sealed batch is a file of level 0.
     """
-    flushed = batches(spark, sf_dir)
+    flushed = written(batches(spark, sf_dir), "flushed")  # read four times
     sealed = flushed.where("sealed").agg(F.max("batch_id")).first()[0]
     half = ((sealed + 1) if sealed is not None else 0) // 2
     bottom = compact(flushed.where(F.col("sealed") & (F.col("batch_id") < half)).select("key", "seq", "value", "is_tombstone"))
@@ -67,9 +83,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select("level", F.concat(F.lit("sst_"), F.col("file_no").cast("string")).alias("file_name"), "min_key", "max_key")
 
 
-def probes(spark: SparkSession) -> DataFrame:
-    """200 keys to look up, some of which don't exist."""
-    return spark.range(200).select(F.concat(F.lit("user_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"))
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key that users may have, and 50 that don't exist."""
+    users = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+    return spark.range(users + 50).select(F.concat(F.lit("user_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"))
 
 
 def replicated(spark: SparkSession, sf_dir: str) -> DataFrame:

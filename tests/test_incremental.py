@@ -53,3 +53,34 @@ def test_empty_source(spark):
     t = target(spark)
     run(t, source(spark, []))
     assert t.rows().count() == 0 and t.table.latest() == 1
+
+
+def test_what_is_retracted_is_pending_again(spark, rows):
+    t = target(spark)
+    df = source(spark, [("a", 1, 1, "x"), ("b", 1, 1, "x"), (None, 1, 1, "x")])
+    run(t, df)
+    t.retract(lambda r: r.where("NOT (k <=> 'b')"))
+    assert rows(t.pending(df).select("k")) == [("b",)] and t.rows().count() == 2 and t.rows(1).count() == 3
+
+
+def test_many_runs_and_another_number_of_shuffle_partitions(spark):
+    t = target(spark)
+    for n in range(7):
+        spark.conf.set("spark.sql.shuffle.partitions", 2 + n % 4)
+        try:
+            again = IncrementalTarget(spark, t.table.path, KEY, VERSION, [("out", "string")])
+            df = source(spark, [(f"k{i}", 1, 1, "") for i in range(10 * n + 10)])
+            assert again.pending(df).count() == 10
+            run(again, df)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(again.table.content()["runs"]) < 7 and again.pending(df).count() == 0
+    with pytest.raises(ValueError, match="defined as"):
+        IncrementalTarget(spark, t.table.path, KEY, VERSION, [("out", "string")], buckets=9)
+
+
+def test_the_target_is_not_shuffled(spark):
+    t = target(spark)
+    run(t, source(spark, [("a", 1, 1, "x")]))
+    text = t.pending(source(spark, [("a", 1, 1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Exchange" not in text[text.index("Scan parquet") - 300 :]
