@@ -8,29 +8,37 @@ block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import groupby
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from palimpsest.operators.joins import estimated_bytes
 from palimpsest.session import written
 
-#: Rows of transfer tables that come to the driver at once.
-COLLECTED_ROWS = 500_000
+#: Bytes of a block, by the optimizer's estimate, and how many times the session's shuffle partitions there may be blocks for that.
+BLOCK_BYTES, BLOCKS_PER_TASK = 256_000_000, 16
+#: Blocks, or groups of blocks, whose transfer tables one task composes.
+FAN = 64
 
 
-def in_blocks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def block_count(df: DataFrame) -> int:
+    """In how many blocks ``df`` is cut at most: the session's shuffle partitions, more if they would be large."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, min(math.ceil(estimated_bytes(df) / BLOCK_BYTES), tasks * BLOCKS_PER_TASK))
+
+
+def in_blocks(df: DataFrame, order: Sequence[str], count: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, with ``_block`` and ``_row``, the row's number in it from 0.
 
     Nulls come first. Rows that tie in ``order`` keep one order from here on, as the result is written.
     """
     by = [F.col(f"`{c}`") for c in order]
-    numbered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    numbered = df.repartitionByRange(count or block_count(df), *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
     return written(
         numbered.withColumns({"_block": F.shiftright("_id", 33).cast("int"), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"),
         "blocks",
@@ -109,8 +117,17 @@ def _ends(rule: CloseAfter | OpenBefore, cum: np.ndarray, entry: int) -> list[in
     return ends
 
 
-def _transfer(rule: CloseAfter | OpenBefore, cum: np.ndarray) -> list[tuple[int, int, int, bool]]:
-    """What a block does to the open group, as (entry from, exit, groups ended, exit moves with the entry).
+_TABLE = ["entry", "exit", "ended", "moves"]
+
+
+def _short(table: pd.DataFrame) -> pd.DataFrame:
+    """A transfer table without the rows that say what the one above them says."""
+    rows = table[["exit", "ended", "moves"]].to_numpy(dtype=np.int64)
+    return table[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+
+
+def _transfer(rule: CloseAfter | OpenBefore, cum: np.ndarray) -> pd.DataFrame:
+    """What a block does to the open group: entry from, exit, groups ended, and whether the exit moves with the entry.
 
     Groups that start alike end alike. Each start is followed to the last group of the
     block by doubling: from a start's next start to the one after that, and so on. As
@@ -132,61 +149,115 @@ def _transfer(rule: CloseAfter | OpenBefore, cum: np.ndarray) -> list[tuple[int,
     start = np.where(moves, 0, first)
     sizes = np.where(moves, cum[-1], (cum[-1] - np.append(0, cum))[last[start]])
     counts = np.where(moves, 0, ended[start] + 1)
-    rows = np.stack([sizes, counts, moves.astype(np.int64)])
-    new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))
-    return [(int(e), int(x), int(c), bool(m)) for e, x, c, m in zip(entries[new], sizes[new], counts[new], moves[new], strict=True)]
+    return _short(pd.DataFrame({"entry": entries, "exit": sizes, "ended": counts, "moves": moves}))
+
+
+def _through(table: pd.DataFrame, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What groups that enter with ``sizes`` leave with: exit, groups ended, whether the exit moves with the entry."""
+    at = table["entry"].to_numpy().searchsorted(sizes, side="right") - 1
+    moves = table["moves"].to_numpy(dtype=bool)[at]
+    return table["exit"].to_numpy()[at] + np.where(moves, sizes, 0), table["ended"].to_numpy()[at], moves
+
+
+def _composed(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+    """The transfer table of two stretches, one after the other."""
+    entry, shift, moves = first["entry"].to_numpy(), first["exit"].to_numpy(), first["moves"].to_numpy(dtype=bool)
+    bounds = np.append(entry[1:], np.iinfo(np.int64).max)
+    # Where the exit moves with the entry, the second table's bounds are bounds of the whole.
+    cuts = [entry, *(cut[(cut > a) & (cut < z)] for a, z, x in zip(entry[moves], bounds[moves], shift[moves], strict=True) for cut in (second["entry"].to_numpy() - x,))]
+    entries = np.unique(np.concatenate(cuts))
+    sizes, ended, moved = _through(first, entries)
+    sizes, more, also = _through(second, sizes)
+    both = moved & also
+    return _short(pd.DataFrame({"entry": entries, "exit": sizes - np.where(both, entries, 0), "ended": ended + more, "moves": both}))
+
 
+def _tables(pdf: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    """The transfer tables of a few nodes, in their order."""
+    return [(int(node), t.sort_values("entry")[_TABLE]) for node, t in pdf.groupby("node", sort=True)]
 
-def _in_order(tables: DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    """The transfer tables block after block. Long ones, where groups are as large as blocks, come piecemeal."""
-    few = tables.limit(COLLECTED_ROWS + 1).toPandas()
-    if len(few) <= COLLECTED_ROWS:
-        for block, table in few.sort_values(["block", "entry"]).groupby("block"):
-            yield int(block), table
-        return
-    ordered = written(tables, "transfer").orderBy("block", "entry").toLocalIterator(prefetchPartitions=True)
-    for block, rows in groupby(ordered, key=lambda r: r["block"]):
-        yield block, pd.DataFrame([r.asDict() for r in rows])
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    tables = _tables(pdf)
+    whole = tables[0][1]
+    for _, table in tables[1:]:
+        whole = _composed(whole, table)
+    return whole.assign(node=tables[0][0] // FAN)[["node", *_TABLE]]
+
+
+def _follow(pdf: pd.DataFrame, size: int, groups: int, total: bool = False) -> pd.DataFrame:
+    """With what every node starts: the size of the open group and the groups before it. ``total`` adds, as node -1, what is left at the end."""
+    out = []
+    for node, table in _tables(pdf):
+        out.append((node, size, groups))
+        left, ended, _ = _through(table, np.array([size]))
+        size, groups = int(left[0]), groups + int(ended[0])
+    return pd.DataFrame([*out, (-1, size, groups)] if total else out, columns=["node", "size", "groups"])
+
+
+_NODES, _STARTS = "node bigint, entry bigint, exit bigint, ended bigint, moves boolean", "node bigint, size bigint, groups bigint"
+
+
+def _block_starts(tables: DataFrame, blocks: int) -> dict[int, tuple[int, int]]:
+    """The size of the group open at the start of each block, and the groups before it; -1 stands for the end.
+
+    Transfer tables compose, so they are composed in a tree of ``FAN`` children each, on
+    executors, until the top has few nodes; these are followed, and then their
+    children, down to the blocks. Only the result, a few numbers per block, comes to the driver.
+    """
+    levels = [tables]
+    while blocks > FAN:
+        levels[-1] = written(levels[-1], "transfer")
+        blocks = -(-blocks // FAN)
+        levels.append(levels[-1].groupBy(F.floor(F.col("node") / FAN)).applyInPandas(_compose, _NODES))
+    starts = levels.pop().groupBy().applyInPandas(lambda pdf: _follow(pdf, 0, 0, True), _STARTS)
+    while levels:
+        starts = written(starts, "starts")
+        parent = starts.where("node >= 0").select("node", "size", "groups")
+
+        def down(nodes: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+            if nodes.empty:
+                return pd.DataFrame([], columns=["node", "size", "groups"])
+            return _follow(nodes, int(start["size"].iloc[0]), int(start["groups"].iloc[0]))
+
+        below = levels.pop().withColumn("_up", F.floor(F.col("node") / FAN)).groupBy("_up").cogroup(parent.groupBy("node")).applyInPandas(down, _STARTS)
+        starts = below.unionByName(starts.where("node < 0"))
+    return {r["node"]: (r["size"], r["groups"]) for r in starts.collect()}
 
 
 def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAfter | OpenBefore, name: str) -> DataFrame:
     """``df`` with the number of the group, from 0, and ``_sealed``: whether the group has ended.
 
     Equal to going through all rows in ``order`` one by one. Every block tells how
-    each size of the group open at its start turns out at its end; these tables, short
-    where a block has many groups, are chained on the driver, which keeps a few numbers
-    per block, and the blocks are then cut with the size that they really start with. Null and negative sizes count 0.
+    each size of the group open at its start turns out at its end, the blocks' tables
+    are composed, and then every block is cut with the size that it really starts
+    with. Python sees a block's sizes only and returns its cuts; rows are numbered by
+    a running maximum of the cuts before them. Null and negative sizes count 0.
     """
     amount = F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0))
-    blocks = in_blocks(df.withColumn("_size", amount), order)
+    count = block_count(df)
+    blocks = in_blocks(df.withColumn("_size", amount), order, count)
+    sizes = blocks.select("_block", "_row", "_size").groupBy("_block")
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        cum = np.cumsum(pdf.sort_values("_row")["_size"].to_numpy())
-        rows = [(int(pdf["_block"].iloc[0]), *r) for r in _transfer(rule, cum)]
-        return pd.DataFrame(rows, columns=["block", "entry", "exit", "ended", "moves"])
-
-    schema = "block int, entry bigint, exit bigint, ended bigint, moves boolean"
-    found = blocks.select("_block", "_row", "_size").groupBy("_block").applyInPandas(tables, schema)
-    starts, open_size, groups = {}, 0, 0
-    for block, table in _in_order(found):
-        starts[block] = (open_size, groups)
-        row = table.iloc[int(table["entry"].searchsorted(open_size, side="right")) - 1]
-        open_size, groups = int(row["exit"]) + (open_size if row["moves"] else 0), groups + int(row["ended"])
-    # The last group of all rows has ended only if it was closed by a row.
-    last = groups if isinstance(rule, CloseAfter) else None
+        found = _transfer(rule, np.cumsum(pdf.sort_values("_row")["_size"].to_numpy()))
+        return found.assign(node=int(pdf["_block"].iloc[0]))[["node", *_TABLE]]
 
-    result = T.StructType([f for f in blocks.schema.fields if f.name not in ("_block", "_row", "_size")] + [T.StructField(name, T.LongType()), T.StructField("_sealed", T.BooleanType())])
+    starts = _block_starts(sizes.applyInPandas(tables, _NODES), count)
+    # The last group of all rows has ended only if it was closed by a row.
+    last = starts.pop(-1, (0, 0))[1] if isinstance(rule, CloseAfter) else None
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
-        entry, first = starts[int(pdf["_block"].iloc[0])]
-        ends = _ends(rule, np.cumsum(pdf["_size"].to_numpy()), entry)
+    def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["_block"].iloc[0])
+        entry, first = starts[block]
+        ends = _ends(rule, np.cumsum(pdf.sort_values("_row")["_size"].to_numpy()), entry)
         # OpenBefore counts the group open at the very start as one even while it is empty.
-        pdf[name] = first + np.searchsorted(np.array(ends, dtype=np.int64), np.arange(len(pdf)), side="right")
-        pdf["_sealed"] = True if last is None else pdf[name] < last
-        return pdf[[f.name for f in result]]
+        return pd.DataFrame({"_block": block, "_row": [-1, *(e - 1 for e in ends)], "_group": range(first, first + len(ends) + 1)})
 
-    return blocks.groupBy("_block").applyInPandas(assign, result)
+    marks = sizes.applyInPandas(cuts, "_block int, _row bigint, _group bigint").withColumn("_cut", F.lit(1))
+    upto = W.partitionBy("_block").orderBy("_row", "_cut").rowsBetween(W.unboundedPreceding, 0)
+    numbered = blocks.drop("_size").withColumn("_cut", F.lit(0)).unionByName(marks, allowMissingColumns=True).withColumn(name, F.max("_group").over(upto)).where("_cut = 0")
+    return numbered.drop("_block", "_row", "_group", "_cut").withColumn("_sealed", F.lit(True) if last is None else F.col(name) < last)
 
 
 def next_in_key(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1_000_000, previous: bool = False) -> DataFrame:

@@ -27,6 +27,17 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` is within the bounds of a broadcast: counted and summed where its rows are, which gathers none."""
+    count, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return count <= max_rows and (size or 0) <= BROADCAST_BYTES
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate: good for choosing between two right plans, not for proving a bound."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -38,23 +49,61 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` on ``on``; ``how`` is inner, left, left_semi or left_anti.
 
-    ``lookup`` is measured first, up to ``max_rows`` + 1: only within that bound and
-    ``BROADCAST_BYTES`` it is broadcast. Beyond it both sides are shuffled, with ``rows`` spread over ``salts``
-    by the columns ``spread`` (all columns if none are given) and ``lookup``
-    repeated once per salt, so that a key which holds a third of ``rows`` is shared
-    by that many tasks.
+    ``lookup`` is measured first: only within ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast. Beyond it both sides are shuffled. Keys that
+    hold more of ``rows`` than half a task's share, counted exactly (a partial
+    aggregate), are then spread over ``salts`` by the columns ``spread`` (all columns
+    if none are given), and only their rows of ``lookup`` are repeated, once per salt; there are
+    at most twice as many such keys as tasks.
+
+    Both sides are read once to be measured and once to be joined; write them first if they are dear.
 
     Null keys match nothing; repeated keys of ``lookup`` repeat rows, as in any join.
     """
     on = list(on)
-    measured = lookup.limit(max_rows + 1).select(_row_bytes(lookup).alias("b"))
-    count, size = measured.agg(F.count("*"), F.sum("b")).first()
-    if count <= max_rows and (size or 0) <= BROADCAST_BYTES:
+    if is_small(lookup, max_rows):
         return rows.join(F.broadcast(lookup), on, how)
+    keys = [F.col(f"`{c}`") for c in on]
+    counts = rows.groupBy(*(k.alias(f"_on{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_n"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = counts.where(F.col("_n") * 2 * tasks > rows.count())
+    # A relation of at most 2 * tasks rows.
+    hot = rows.sparkSession.createDataFrame(hot.drop("_n").collect(), hot.drop("_n").schema).withColumn("_hot", F.lit(True))
     salt = "_salt"
     while salt in {*rows.columns, *lookup.columns}:
         salt += "_"
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for i, c in enumerate(on):
+            same = same & df[f"`{c}`"].eqNullSafe(hot[f"_on{i}"])
+        return df.join(F.broadcast(hot), same, "left").drop(*(f"_on{i}" for i in range(len(on))))
+
     by = [F.col(f"`{c}`") for c in (spread or [n for n, t in rows.dtypes if not t.startswith("map")])]
-    left = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = marked(rows).withColumn(salt, F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(lookup).withColumn(salt, F.explode(every)).drop("_hot")
     return left.join(right, [*on, salt], how).drop(salt)
+
+
+#: Copies of one row that are made at a time.
+_COPIES = 1000
+
+
+def repeated(rows: DataFrame, times: str, spread: bool) -> DataFrame:
+    """Every row as often as its column ``times`` says, without that column; with ``spread`` a row of very many copies is shared by all tasks.
+
+    Copies are made group by group, so that no row's copies are ever held at once.
+    """
+    groups = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / _COPIES))
+
+    def made(df: DataFrame, partitions: int = 0) -> DataFrame:
+        grouped = df.withColumn("_group", F.explode(groups))
+        if partitions:
+            grouped = grouped.repartition(partitions)
+        here = F.least(F.lit(_COPIES), F.col(times) - F.col("_group") * _COPIES)
+        return grouped.withColumn(times, F.explode(F.sequence(F.lit(1).cast("bigint"), here))).drop("_group", times)
+
+    if not spread:
+        return made(rows)
+    many = made(rows.where(F.col(times) > _COPIES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return made(rows.where(F.col(times) <= _COPIES)).unionByName(many)

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.blocks import next_in_key
-from palimpsest.operators.joins import lookup_join
+from palimpsest.operators.changefeed import spelled
+from palimpsest.operators.joins import estimated_bytes, is_small, repeated
 
 
-def cells_from_mutations(mutations: DataFrame) -> DataFrame:
-    """Mutations (seq, op, key, value) as cells. ``op`` counts without outer blanks and case; a delete's value is dropped."""
-    op = F.lower(F.trim("op"))
-    return mutations.where(op.isin("set", "delete")).select("key", F.col("seq").cast("bigint").alias("seq"), F.when(op == "set", F.col("value")).alias("value"), (op == "delete").alias("is_tombstone"))
+def cells_from_mutations(mutations: DataFrame, strict: bool = False) -> DataFrame:
+    """Mutations (seq, op, key, value) as cells; a delete's value is dropped.
+
+    ``op`` counts without outer blanks (of any kind) and case. Rows with another or
+    null operation are no cells: they are left out, as membership entries are, or, where ``strict``, fail the job.
+    """
+    op = spelled(F.col("op"))
+    known = F.coalesce(op.isin("set", "delete"), F.lit(False))
+    if strict:
+        known = F.when(~known, F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null")))).cast("boolean")).otherwise(True)
+    return mutations.where(known).select("key", F.col("seq").cast("bigint").alias("seq"), F.when(op == "set", F.col("value")).alias("value"), (op == "delete").alias("is_tombstone"))
 
 
 def resolve(cells: DataFrame, at: int | None = None) -> DataFrame:
@@ -51,11 +59,30 @@ def in_range(cells: DataFrame, start: str | None = None, end: str | None = None)
     return cells
 
 
+#: Probes filter the cells first if the cells are estimated to be this many times as large.
+_FILTER_WORTH = 8
+#: Bytes of probes, by the optimizer's estimate, above which a repeated probe is shared by all tasks.
+_MANY_PROBES = 256_000_000
+
+
 def multi_get(cells: DataFrame, probes: DataFrame, at: int | None = None) -> DataFrame:
-    """Each probe ``key`` with its live value, or null. Probes filter the cells before these are resolved."""
-    wanted = lookup_join(cells, probes.select("key").distinct(), ["key"], "left_semi", spread=["seq"])
-    found = live(wanted, at)
-    return probes.join(found, "key", "left")
+    """Each probe ``key`` with its live ``value``, or null; a key asked for repeatedly comes as often. Other columns of ``probes`` are ignored.
+
+    Probes and visible versions are united and reduced by key in one partial
+    aggregate and one shuffle; neither a hot key nor a hot probe is gathered. Where
+    the probes are few beside the cells, and measured to be within the bounds of a
+    broadcast, they filter the cells at the scan first.
+    """
+    visible = cells if at is None else cells.where(F.col("seq") <= at)
+    if estimated_bytes(visible) > _FILTER_WORTH * estimated_bytes(probes):
+        asked = probes.select("key").distinct()
+        if is_small(asked):
+            visible = visible.join(F.broadcast(asked), "key", "left_semi")
+    version = F.struct("seq", "is_tombstone", "value")
+    held = visible.where("key IS NOT NULL").select("key", version.alias("_v"), F.lit(0).cast("bigint").alias("_asked"))
+    wanted = probes.select("key", F.lit(None).cast(held.schema["_v"].dataType).alias("_v"), F.lit(1).cast("bigint").alias("_asked"))
+    found = held.unionByName(wanted).groupBy("key").agg(F.max("_v").alias("_v"), F.sum("_asked").alias("_asked")).where("_asked > 0")
+    return repeated(found.select("key", F.when(~F.col("_v.is_tombstone"), F.col("_v.value")).alias("value"), "_asked"), "_asked", estimated_bytes(probes) > _MANY_PROBES)
 
 
 def version_blocks(cells: DataFrame, width: int = 1000) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.operators import blocks
-from palimpsest.operators.blocks import CloseAfter, OpenBefore, _ends, _transfer, greedy_groups, next_in_key, with_position, with_running_sum
+from palimpsest.operators.blocks import CloseAfter, OpenBefore, _composed, _ends, _through, _transfer, greedy_groups, next_in_key, with_position, with_running_sum
 
 
 def one_by_one(rule, sizes):
@@ -33,24 +33,44 @@ def test_blocks_chain_to_the_sequential_fold(kind, limit, parts):
         cum = np.cumsum(b)
         ends = _ends(rule, cum, open_size)
         got += (groups + np.searchsorted(np.array(ends, dtype=np.int64), np.arange(len(b)), side="right")).tolist()
-        _, out, ended, moves = max(r for r in _transfer(rule, cum) if r[0] <= open_size)
-        assert ended == len(ends)
-        open_size, groups = (open_size + out if moves else out), groups + ended
+        out, ended, _ = _through(_transfer(rule, cum), np.array([open_size]))
+        assert ended[0] == len(ends)
+        open_size, groups = int(out[0]), groups + int(ended[0])
     assert got == one_by_one(rule, [w for b in parts for w in b])
 
 
-@pytest.mark.parametrize("collected", [500_000, 1])
-def test_greedy_groups_over_partitions(spark, monkeypatch, collected):
-    monkeypatch.setattr(blocks, "COLLECTED_ROWS", collected)
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from([CloseAfter, OpenBefore]), st.integers(1, 60), st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=12), min_size=2, max_size=5))
+def test_tables_compose_to_going_through_one_after_the_other(kind, limit, parts):
+    rule = kind(limit)
+    tables = [_transfer(rule, np.cumsum(b)) for b in parts]
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = _composed(whole, t)
+    sizes, ended = np.arange(limit + 5), np.zeros(limit + 5, dtype=np.int64)
+    out = sizes
+    for t in tables:
+        out, more, _ = _through(t, out)
+        ended = ended + more
+    got, groups, _ = _through(whole, sizes)
+    assert got.tolist() == out.tolist() and groups.tolist() == ended.tolist()
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_greedy_groups_over_partitions(spark, monkeypatch, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    monkeypatch.setattr(blocks, "block_count", lambda df: 9)
     rng = random.Random(0)
     sizes = [rng.randint(1, 50) for _ in range(700)]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i bigint, size int").repartition(5)
-    for rule in (CloseAfter(100), OpenBefore(100)):
+    df = spark.createDataFrame([(i, s, f"row {i}") for i, s in enumerate(sizes)], "i bigint, size int, other string").repartition(5)
+    for rule in (CloseAfter(100), OpenBefore(100), CloseAfter(5000)):
         got = greedy_groups(df, ["i"], "size", rule, "g").orderBy("i").collect()
-        assert [r["g"] for r in got] == one_by_one(rule, sizes)
+        assert [r["g"] for r in got] == one_by_one(rule, sizes) and [r["other"] for r in got] == [f"row {i}" for i in range(700)]
         if isinstance(rule, CloseAfter):
-            assert [r["_sealed"] for r in got] == [g < one_by_one(rule, sizes + [1000])[-1] for g in one_by_one(rule, sizes)]
+            assert [r["_sealed"] for r in got] == [g < one_by_one(rule, sizes + [10_000])[-1] for g in one_by_one(rule, sizes)]
     assert greedy_groups(df.limit(0), ["i"], "size", CloseAfter(3), "g").collect() == []
+    odd = spark.createDataFrame([(1, None, "a"), (2, -5, "b"), (3, 3, "c"), (4, 1, "d")], df.schema)
+    assert [r["g"] for r in greedy_groups(odd, ["i"], "size", CloseAfter(3), "g").orderBy("i").collect()] == [0, 0, 0, 1]
 
 
 def test_positions_and_running_sums(spark):
