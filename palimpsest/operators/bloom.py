@@ -1,4 +1,4 @@
-"""Bloom filters over files, as relations of (file, bit)."""
+"""Bloom filters over files, as relations of the words of their bits."""
 
 from __future__ import annotations
 
@@ -23,31 +23,49 @@ def _spread(keys: DataFrame) -> DataFrame:
     return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *reversed(keys.columns))
 
 
+#: Bits in one word of a filter.
+WORD = 32
+
+
+def _hashed(keys: DataFrame, sizes: DataFrame, file: str) -> DataFrame:
+    """The words of its file's filter that each key touches, and the mask of its bits in each: at most one row per hash function."""
+    asked = lookup_join(_spread(keys.select(file, "key").distinct()), sizes.select(file, "bits", "hashes"), [file], spread=["key"])
+    each = asked.select(file, "key", "bits", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hashes") - 1)).alias("round")).withColumn("bit", bit_of(F.col("key"), F.col("round"), F.col("bits")))
+    return _masks(each, file, "key")
+
+
+def _masks(bits: DataFrame, *by: str) -> DataFrame:
+    mask = F.expr(f"shiftleft(1L, cast(bit % {WORD} AS int))")
+    return bits.select(*by, F.floor(F.col("bit") / WORD).cast("bigint").alias("word_no"), mask.alias("word"))
+
+
+def _united(masks: DataFrame, *by: str) -> DataFrame:
+    return masks.groupBy(*by, "word_no").agg(F.bit_or("word").alias("word"))
+
+
 def build(files: DataFrame, sizes: DataFrame, file: str = "file_no") -> DataFrame:
-    """The bits that are set, once each. Keys are made distinct before they are hashed."""
-    keys = lookup_join(_spread(files.select(file, "key").distinct()), sizes, [file], spread=["key"])
-    return keys.select(file, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hashes") - 1)).alias("round"), "key", "bits").select(file, bit_of(F.col("key"), F.col("round"), F.col("bits")).alias("bit")).distinct()
+    """The filters as words of 32 bits, those without a bit left out: ``file``, ``word_no``, ``word``. United before the shuffle."""
+    return _united(_hashed(files, sizes, file), file)
 
 
-def probe(bits: DataFrame, sizes: DataFrame, probes: DataFrame, file: str = "file_no") -> DataFrame:
-    """Pairs of ``probes`` (file, key) that the file's filter lets through: all bits of the key are set."""
-    asked = lookup_join(_spread(probes.select(file, "key").distinct()), sizes, [file], spread=["key"])
-    wanted = asked.select(file, "key", "hashes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hashes") - 1)).alias("round"), "bits").select(file, "key", bit_of(F.col("key"), F.col("round"), F.col("bits")).alias("bit")).distinct()
-    # Rounds may share a bit, so both sides are counted in distinct bits.
-    hit = wanted.join(bits.withColumn("_set", F.lit(1)), [file, "bit"], "left")
-    return hit.groupBy(file, "key").agg((F.count("_set") == F.count("*")).alias("may_contain"))
+def probe(words: DataFrame, sizes: DataFrame, probes: DataFrame, file: str = "file_no") -> DataFrame:
+    """Distinct pairs of ``probes`` (file, key) with ``may_contain``: whether all bits of the key are set in the file's filter."""
+    wanted = _hashed(probes, sizes, file)
+    held = lookup_join(wanted, words.withColumnRenamed("word", "_held"), [file, "word_no"], "left", spread=["key"])
+    return held.groupBy(file, "key").agg(F.bool_and(F.coalesce("_held", F.lit(0)).bitwiseAND(F.col("word")) == F.col("word")).alias("may_contain"))
 
 
-def serialize(bits: DataFrame, sizes: DataFrame, file: str = "file_no") -> DataFrame:
+def serialize(words: DataFrame, sizes: DataFrame, file: str = "file_no") -> DataFrame:
     """Each filter as its number of hash functions, a line feed, and its bits as 0 and 1; a filter is bounded by its file."""
-    places = sizes.select(file, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bits") - 1)).alias("bit"), F.lit("0").alias("_on"))
-    each = places.unionByName(bits.select(file, "bit", F.lit("1").alias("_on"))).groupBy(file, "bit").agg(F.max("_on").alias("_on"))
-    text = each.groupBy(file).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bit", "_on"))), lambda x: x["_on"]), "").alias("_text"))
-    return sizes.join(text, file).select(file, F.concat(F.col("hashes").cast("string"), F.lit("\n"), F.col("_text")).alias("data"))
+    empty = sizes.select(file, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("bits") - 1) / WORD))).alias("word_no"), F.lit(0).cast("bigint").alias("word"))
+    each = _united(empty.unionByName(words), file).withColumn("word", F.reverse(F.lpad(F.conv(F.col("word").cast("string"), 10, 2), WORD, "0")))
+    text = each.groupBy(file).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), "").alias("_text"))
+    return sizes.join(text, file).select(file, F.concat(F.col("hashes").cast("string"), F.lit("\n"), F.substring("_text", F.lit(1), F.col("bits").cast("int"))).alias("data"))
 
 
 def deserialize(filters: DataFrame, file: str = "file_no") -> DataFrame:
-    """Bits that are set, from the serialised form; a malformed one fails the job."""
+    """The words from the serialised form; a malformed one fails the job."""
     well = F.col("data").rlike(r"^[1-9][0-9]*\n[01]+$")
     checked = filters.where(F.when(F.coalesce(~well, F.lit(True)), F.raise_error(F.lit("malformed filter")).cast("boolean")).otherwise(True))
-    return checked.select(file, F.posexplode(F.split(F.substring_index("data", "\n", -1), "")).alias("bit", "_on")).where("_on = '1'").select(file, F.col("bit").cast("bigint").alias("bit"))
+    bits = checked.select(file, F.posexplode(F.split(F.substring_index("data", "\n", -1), "")).alias("bit", "_on")).where("_on = '1'")
+    return _united(_masks(bits, file), file)

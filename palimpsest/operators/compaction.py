@@ -10,9 +10,6 @@ from palimpsest.operators.blocks import in_blocks, with_carry
 from palimpsest.operators.joins import lookup_join
 from palimpsest.operators.mvcc import resolve
 
-#: Files of a manifest whose ranges are broadcast.
-FEW_FILES = 10_000
-
 
 def retain(cells: DataFrame, oldest_pin: int | None) -> DataFrame:
     """The versions that compaction keeps.
@@ -39,13 +36,9 @@ def drop_tombstones(kept: DataFrame, deeper: DataFrame) -> DataFrame:
 def covering(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows of ``points`` whose ``key`` lies in a range of ``ranges`` (key, _reach).
 
-    Up to ``FEW_FILES`` ranges, counted first, are broadcast. Beyond that ranges and
-    points are sorted together in blocks, where a running maximum of ``_reach`` tells
-    whether any range that began reaches as far.
+    Ranges and points are sorted together in blocks, where a running maximum of
+    ``_reach`` tells whether any range that began reaches as far: no pair is formed, at any number of ranges.
     """
-    if ranges.limit(FEW_FILES + 1).count() <= FEW_FILES:
-        spans = ranges.withColumnsRenamed({"key": "_from"})
-        return points.join(F.broadcast(spans), (points["key"] >= spans["_from"]) & (points["key"] <= spans["_reach"]), "left_semi")
     side = ranges.select("key", F.lit(0).alias("_side"), "_reach", F.lit(None).alias("_row0"))
     data = points.select("key", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_reach"), F.struct(*points.columns).alias("_row0"))
     blocks = in_blocks(side.withColumn("_row0", F.lit(None).cast(data.schema["_row0"].dataType)).unionByName(data), ["key", "_side"])
