@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 
 from palimpsest.config import EngineConfig
 from palimpsest.functions.records import cell_size, sstable_payload, user_size
-from palimpsest.operators import compaction, mvcc
+from palimpsest.operators import compaction, layout, mvcc
 from palimpsest.operators.blocks import with_position
 from palimpsest.operators.changefeed import spelled
 from palimpsest.schema import CELLS, MANIFEST
+from palimpsest.session import written
+from palimpsest.sources.formats import replay_wal
 from palimpsest.sources.versioned import VersionedTable
 
 _STORED = T.StructType([*CELLS.fields, T.StructField("crc", T.LongType())])
-_EMPTY = {"seq": 0, "user_bytes": 0, "disk_bytes": 0, "next_file": 0, "log": [], "log_size": 0, "files": []}
+_EMPTY = {"seq": 0, "user_bytes": 0, "disk_bytes": 0, "next_file": 0, "log": [], "log_size": 0, "files": [], "applied": {}}
 
 
 class Store:
@@ -34,6 +36,9 @@ class Store:
     One writer at a time: a second :meth:`__init__` on the same path raises
     RuntimeError until the first is closed (``break_lock`` takes over after a crash).
     Readers need no lock: ``Store.reader``.
+
+    A store whose manifest names a folder that isn't there can't be opened (RuntimeError).
+    Opening it for writing deletes what a lost job left: folders that no version names.
     """
 
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), break_lock: bool = False, read_only: bool = False) -> None:
@@ -53,6 +58,7 @@ class Store:
             self._lock = lock
         self.version = self.table.latest()
         self.state = _EMPTY | self.table.content(self.version)
+        self._check_folders()
         self._buffer: list[tuple[int, str, str, str | None]] = []
         self._pins: dict[int, int] = {}
 
@@ -60,6 +66,23 @@ class Store:
     def reader(cls, spark: SparkSession, path: str) -> Store:
         return cls(spark, path, read_only=True)
 
+    @staticmethod
+    def _folders(state: dict) -> list[str]:
+        return [*state.get("log", ()), *(f["folder"] for f in state.get("files", ()))]
+
+    def _check_folders(self) -> None:
+        if gone := self.table.missing(self._folders(self.state)):
+            self._unlock()
+            raise RuntimeError(f"{self.path} lacks {', '.join(gone)}, which its manifest names")
+        if self._lock is not None:
+            named = {f for v in self.table.versions() for f in self._folders(self.table.content(v))}
+            self.table.vacuum(named, keep_versions=0)
+
+    def _unlock(self) -> None:
+        if self._lock is not None:
+            self.table.files.delete(self._lock)
+            self._lock = None
+
     # --- writes
 
     def _publish(self, **changes) -> None:
@@ -90,7 +113,14 @@ class Store:
         if self._buffer:
             rows = self.spark.createDataFrame(self._buffer, "seq bigint, op string, key string, value string")
             self._buffer = []
-            self._append(mvcc.cells_from_mutations(rows))
+            self._append(mvcc.cells_from_mutations(rows, strict=True))
+
+    @staticmethod
+    def _checked(mutations: DataFrame) -> DataFrame:
+        """``mutations``, failing the job at one without a known operation, a key, or a value to set."""
+        op = spelled(F.col("op"))
+        known = op.isin("set", "delete") & F.col("key").isNotNull() & ((op == "delete") | F.col("value").isNotNull())
+        return mutations.where(F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.lit("a mutation without operation, key or value")).cast("boolean")).otherwise(True))
 
     def write(self, mutations: DataFrame, order: list[str]) -> int:
         """Append a batch of ``op``, ``key``, ``value`` in the order of ``order``; the store numbers it on from its last write.
@@ -98,44 +128,70 @@ class Store:
         Rows with another operation, a null key, or a set of null are refused: the whole batch fails.
         """
         self.commit()
-        known = spelled(F.col("op")).isin("set", "delete") & F.col("key").isNotNull() & ((spelled(F.col("op")) == "delete") | F.col("value").isNotNull())
-        checked = mutations.where(F.when(~F.coalesce(known, F.lit(False)), F.raise_error(F.lit("a mutation without operation, key or value")).cast("boolean")).otherwise(True))
-        numbered = with_position(checked, order, "_pos").withColumn("seq", F.col("_pos") + self.state["seq"])
-        return self._append(mvcc.cells_from_mutations(numbered.select("seq", "op", "key", "value")))
+        numbered = with_position(self._checked(mutations), order, "_pos").withColumn("seq", F.col("_pos") + self.state["seq"])
+        return self._append(mvcc.cells_from_mutations(numbered.select("seq", "op", "key", "value"), strict=True))
+
+    def apply_batch(self, mutations: DataFrame, feed: str, batch_no: int) -> int:
+        """Append a numbered batch of a feed, whose mutations have sequence numbers of their own.
+
+        The number is published with the data: a batch that is delivered again changes nothing, neither reads nor figures. Refused rows fail the batch, as in :meth:`write`.
+        """
+        self.commit()
+        if batch_no <= self.state["applied"].get(feed, -1):
+            return self.state["seq"]
+        return self._append(mvcc.cells_from_mutations(self._checked(mutations), strict=True), applied=self.state["applied"] | {feed: batch_no})
+
+    def recover(self, segments: str) -> int:
+        """Append what the log segments under a folder hold beyond the store's last sequence number, up to the first bad record; doing so again adds nothing."""
+        self.commit()
+        rows = replay_wal(self.spark, segments).where(F.col("seq") > self.state["seq"])
+        return self._append(mvcc.cells_from_mutations(rows, strict=True))
 
-    def _append(self, cells: DataFrame) -> int:
+    def _append(self, cells: DataFrame, **changes) -> int:
         folder = self.table.write(cells.select(*CELLS.fieldNames()))
         new = self.table.read([folder], CELLS)
         seq, user, size = new.agg(F.max("seq"), F.coalesce(F.sum(user_size()), F.lit(0)), F.coalesce(F.sum(cell_size()), F.lit(0))).first()
-        self._publish(log=[*self.state["log"], folder], seq=max(seq or 0, self.state["seq"]), user_bytes=self.state["user_bytes"] + user, log_size=self.state["log_size"] + size)
+        self._publish(
+            log=[*self.state["log"], folder], seq=max(seq or 0, self.state["seq"]), user_bytes=self.state["user_bytes"] + user, log_size=self.state["log_size"] + size, **changes
+        )
         if self.state["log_size"] >= self.config.max_memtable_size:
             self.flush()
         return self.state["seq"]
 
-    def _write_file(self, cells: DataFrame) -> dict:
-        """A sorted file: a folder range-partitioned by key, with Parquet's statistics and bloom filters on the key."""
-        ordered = cells.withColumn("crc", F.crc32(sstable_payload())).select(*_STORED.fieldNames()).repartitionByRange("key").sortWithinPartitions("key", "seq")
+    def _write_files(self, cells: DataFrame, level: int) -> list[dict]:
+        """``cells`` as sorted files of ``level``, with Parquet's statistics and bloom filters on the key.
+
+        At level 0 one file; below, files are closed before the key that would exceed the
+        level's size. A file is a folder, range-partitioned by key and sequence number: a
+        key of many versions is spread over its parts.
+        """
+        rows = cells.withColumn("crc", F.crc32(sstable_payload()))
+        target = self.config.level_chunk_size(level)
+        if level and (rows.agg(F.sum(cell_size())).first()[0] or 0) > target:
+            rows = rows.join(layout.compaction_chunks(cells, target).select("key", F.col("chunk").alias("_chunk")), "key")
+        else:
+            rows = rows.withColumn("_chunk", F.lit(0).cast("bigint"))
+        ordered = rows.select(*_STORED.fieldNames(), "_chunk").repartitionByRange("_chunk", "key", "seq").sortWithinPartitions("_chunk", "key", "seq")
         options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": str(self.config.bloom_false_positive_rate)}
-        folder = self.table.write(ordered, **options)
-        low, high, records = self.table.read([folder], _STORED).agg(F.min("key"), F.max("key"), F.count("*")).first()
-        size = self.table.files.size(f"{self.path}/{folder}")
-        return {"folder": folder, "min_key": low, "max_key": high, "records": records, "bytes": size}
+        folder = self.table.write(ordered, ["_chunk"], **options)
+        chunks = self.table.read([folder], T.StructType([*_STORED.fields, T.StructField("_chunk", T.LongType())])).groupBy("_chunk").agg(F.min("key"), F.max("key"), F.count("*"))
+        # A row per file.
+        made = [(f"{folder}/_chunk={n}", low, high, records) for n, low, high, records in sorted(map(tuple, chunks.collect()))]
+        return [{"folder": f, "min_key": low, "max_key": high, "records": records, "bytes": self.table.files.size(f"{self.path}/{f}")} for f, low, high, records in made]
 
     def flush(self) -> None:
         """The log, all versions of it, as a file of level 0; levels that are due are compacted."""
         self.commit()
         if not self.state["log"]:
             return
-        made = self._write_file(self.table.read(self.state["log"], CELLS))
-        n = self.state["next_file"] + 1
-        self._publish(files=[*self.state["files"], made | {"level": 0, "file_no": n}], next_file=n, log=[], log_size=0, disk_bytes=self.state["disk_bytes"] + made["bytes"])
+        self._replace(set(), self._write_files(self.table.read(self.state["log"], CELLS), 0), 0, log=[], log_size=0)
         level = 0
         while sum(f["level"] == level for f in self.state["files"]) >= self.config.level_file_limit(level):
             self.compact(level)
             level += 1
 
     def compact(self, level: int = 0) -> None:
-        """Merge a level with the overlapping files of the next one.
+        """Merge a level with the overlapping files of the next one; files of that level which don't overlap stay as they are.
 
         Versions that the oldest open snapshot may read stay; without one, tombstones go that no deeper file needs.
         """
@@ -149,14 +205,20 @@ class Store:
         deeper = [(f["min_key"], f["max_key"]) for f in files if f["level"] > level + 1]
         ranges = self.spark.createDataFrame(deeper, "min_key string, max_key string") if deeper else None
         cells = self.table.read([f["folder"] for f in chosen], _STORED).drop("crc")
-        made = self._write_file(compaction.compact(cells, min(self._pins, default=None), ranges))
-        n = self.state["next_file"] + 1
-        out = [made | {"level": level + 1, "file_no": n}] if made["records"] else []
-        self._publish(files=[f for f in files if f["file_no"] not in numbers] + out, next_file=n, disk_bytes=self.state["disk_bytes"] + made["bytes"])
+        merged = written(compaction.compact(cells, min(self._pins, default=None), ranges), "merged")
+        self._replace(numbers, self._write_files(merged, level + 1), level + 1)
+
+    def _replace(self, gone: set[int], made: list[dict], level: int, **changes) -> None:
+        """Publish new files of ``level`` in place of others."""
+        n = self.state["next_file"]
+        new = [f | {"level": level, "file_no": n + i} for i, f in enumerate(made, 1)]
+        self._publish(
+            files=[f for f in self.state["files"] if f["file_no"] not in gone] + new, next_file=n + len(new), disk_bytes=self.state["disk_bytes"] + sum(f["bytes"] for f in made), **changes
+        )
 
     def vacuum(self) -> list[str]:
         """Delete the folders that the current version doesn't name; call it when no DataFrame of an older one is in use."""
-        return self.table.vacuum([*self.state["log"], *(f["folder"] for f in self.state["files"])])
+        return self.table.vacuum(self._folders(self.state))
 
     # --- reads
 
@@ -238,8 +300,7 @@ class Store:
         """Make everything durable and give up the lock; closing twice is harmless."""
         if self._lock is not None:
             self.commit()
-            self.table.files.delete(self._lock)
-            self._lock = None
+            self._unlock()
 
     def __enter__(self) -> Store:
         return self

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators.changefeed import replay_changes
-from palimpsest.operators.mvcc import cells_from_mutations
 from palimpsest.schema import MUTATIONS, REPLICATION_ENTRY
 from palimpsest.sources.versioned import VersionedTable
 from palimpsest.store import Store
@@ -21,43 +22,58 @@ def mutation_stream(spark: SparkSession, path: str, files_per_trigger: int = 16)
     return spark.readStream.schema(MUTATIONS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def into_store(stream: DataFrame, store: Store) -> DataStreamWriter:
+def into_store(stream: DataFrame, store: Store, feed: str = "stream") -> DataStreamWriter:
     """Append each micro-batch, which has its own sequence numbers, to the store.
 
-    A micro-batch that is delivered again holds sequence numbers that the store
-    already has, and reads resolve by these, so repeating it changes no result.
+    The number of the micro-batch is published with it under the name ``feed``, which
+    must be the query's own: one that is delivered again changes nothing.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        store._append(cells_from_mutations(batch))
+    def append(batch: DataFrame, batch_no: int) -> None:
+        store.apply_batch(batch, feed, batch_no)
 
     return stream.writeStream.foreachBatch(append)
 
 
-def replication_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Replication entries as they arrive, each index once."""
-    return spark.readStream.schema(REPLICATION_ENTRY).parquet(path).dropDuplicates(["index"])
+def replication_stream(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
+    """Replication entries as they arrive, each index once while copies of it come within ``delay`` of the newest; older state is dropped.
+
+    Entries carry ``appended_at``. Of what comes later than that, what was applied is told by the index: see :class:`StateTable`, which skips positions applied.
+    """
+    schema = T.StructType([*REPLICATION_ENTRY.fields, T.StructField("appended_at", T.TimestampType())])
+    return spark.readStream.schema(schema).parquet(path).withWatermark("appended_at", delay).dropDuplicatesWithinWatermark(["index"])
 
 
 class StateTable:
-    """The states of a change feed, kept between micro-batches as versions of a table."""
+    """The states of a change feed, kept between micro-batches as versions of a table.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], pos: str, op: str, columns: list[str]) -> None:
+    States lie in ``buckets`` folders by a hash of their key; a micro-batch reads and rewrites only the buckets that its keys fall into.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], pos: str, op: str, columns: list[str], buckets: int = 64) -> None:
         self.table, self.keys, self.pos, self.op, self.columns = VersionedTable(spark, path), keys, pos, op, columns
+        self.buckets = self.table.content().get("count", buckets)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in self.keys)), F.lit(self.buckets)).cast("int")
 
-    def states(self, schema) -> DataFrame:
-        return self.table.read(self.table.content().get("folders", []), schema)
+    def states(self, schema: T.StructType) -> DataFrame:
+        return self.table.read(self.table.content().get("buckets", {}).values(), schema)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Merge one micro-batch; one that was applied before changes nothing, late changes count as if in order."""
         content, after = self.table.content(), self.table.latest()
         if batch_id <= content.get("batch", -1):
             return
-        empty = replay_changes(batch.limit(0), self.keys, self.pos, self.op, self.columns)
-        before = self.states(empty.schema) if content else None
-        merged = replay_changes(batch, self.keys, self.pos, self.op, self.columns, states=before)
-        folder = self.table.write(merged)
-        self.table.publish({"folders": [folder], "batch": batch_id}, after)
+        # The batch is read twice: for its buckets, at most as many as there are, and to be merged.
+        touched = {str(r[0]) for r in batch.select(self._bucket()).distinct().collect() if r[0] is not None}
+        schema = replay_changes(batch.limit(0), self.keys, self.pos, self.op, self.columns).schema
+        held = content.get("buckets", {})
+        before = self.table.read([held[b] for b in sorted(touched & held.keys())], schema)
+        merged = replay_changes(batch, self.keys, self.pos, self.op, self.columns, states=before).withColumn("_bucket", self._bucket())
+        folder = self.table.write(merged.repartition("_bucket"), ["_bucket"])
+        made = {n.split("=")[1]: f"{folder}/{n}" for n in self.table.files.names(f"{self.table.path}/{folder}") if n.startswith("_bucket=")}
+        self.table.publish({"buckets": held | made, "count": self.buckets, "batch": batch_id}, after)
 
 
 def votes(requests: DataFrame) -> DataFrame:

@@ -172,3 +172,76 @@ def test_shell(spark, path):
         assert answer(s, "scan a z") == "a 1" and answer(s, "nonsense") == "unknown command: nonsense"
         assert answer(s, "delete a") == "ok" and answer(s, "scan a z") == "(none)" and "total_sstables: 0" in answer(s, "stats")
         assert answer(s, "exit") is None
+
+
+def test_compaction_cuts_its_output_and_rewrites_only_what_overlaps(spark, path):
+    config = EngineConfig(max_memtable_size=40, max_l0_files=100, level_factor=2)
+    with Store(spark, path, config) as s:
+        rows = [("SET", f"k{i:03d}", "x" * 10) for i in range(60)]
+        s.write(spark.createDataFrame(rows, "op string, key string, value string"), ["key"])
+        s.flush()
+        s.compact(0)
+        files = sorted((f for f in s.state["files"]), key=lambda f: f["min_key"])
+        assert len(files) == 12 and {f["level"] for f in files} == {1} and all(f["records"] == 5 for f in files)  # 14 units each, 80 a file
+        assert all(a["max_key"] < b["min_key"] for a, b in zip(files, files[1:], strict=False))
+        assert dumped(s) == {k: v for _, k, v in rows}
+        s.set("k012", "new" * 12)
+        s.flush()
+        s.compact(0)
+        now = {f["folder"]: f for f in s.state["files"]}
+        gone = [f for f in files if f["folder"] not in now]
+        assert [(f["min_key"], f["max_key"]) for f in gone] == [("k010", "k014")]
+        assert s.get("k012") == "new" * 12 and s.get("k011") == "x" * 10
+        held = {p.split("/data/")[1].rsplit("/", 1)[0] for p in s.cells("k030", "k031").inputFiles()}
+        assert held == {f["folder"].split("/", 1)[1] for f in s.state["files"] if f["min_key"] <= "k031" and f["max_key"] >= "k030"}
+        s.vacuum()
+        assert len(dumped(s)) == 60 and s.verify().count() == 0
+
+
+def test_a_key_of_many_versions_is_spread_over_a_file(spark, path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    with Store(spark, path, EngineConfig(max_memtable_size=10**9)) as s:
+        s.write(spark.range(20_000).selectExpr("'SET' AS op", "'hot' AS key", "cast(id AS string) AS value", "id"), ["id"])
+        s.flush()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(s.cells().inputFiles()) > 1 and s.get("hot") == "19999" and s.get("hot", 5) == "4"
+
+
+def test_a_missing_file_is_an_error_and_what_no_version_names_goes(spark, path):
+    with Store(spark, path) as s:
+        s.set("a", "1")
+        s.flush()
+        lost = s.table.write(s.cells())
+    with Store(spark, path) as s:
+        assert not s.table.files.exists(f"{path}/{lost}") and s.get("a") == "1"
+        folder = s.state["files"][0]["folder"]
+    s.table.files.delete(f"{path}/{folder}")
+    for _ in range(2):  # the lock isn't kept
+        with pytest.raises(RuntimeError, match="lacks"):
+            Store(spark, path)
+
+
+def test_recovery_from_log_segments(spark, path, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.sources.formats import wal_frame
+
+    cells = spark.createDataFrame([("a", 1, "1", False), ("b", 2, "2", False), ("a", 3, None, True), ("c", 4, "4", False)], "key string, seq bigint, value string, is_tombstone boolean").coalesce(1)
+    frames = [bytes(r[0]) for r in cells.select(wal_frame(F.col("seq"), F.col("key"), F.col("value"), F.col("is_tombstone"))).collect()]
+    (tmp_path / "wal-9.log").write_bytes(frames[0] + frames[1])
+    (tmp_path / "wal-10.log").write_bytes(frames[2] + frames[3][:-1])
+    with Store(spark, path) as s:
+        assert s.recover(str(tmp_path)) == 3 and dumped(s) == {"b": "2"}
+        before = s.stats()
+        assert s.recover(str(tmp_path)) == 3 and s.stats() == before
+    (tmp_path / "wal-10.log").write_bytes(frames[2] + frames[3])
+    with Store(spark, path) as s:
+        assert s.recover(str(tmp_path)) == 4 and dumped(s) == {"b": "2", "c": "4"}
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r", "\x0b"])
+def test_no_row_of_a_batch_is_lost_for_its_spelling(spark, path, blank):
+    with Store(spark, path) as s:
+        rows = [("SET", "a", "1"), (f"{blank}Set{blank}", "b", "2")]
+        assert s.write(spark.createDataFrame(rows, "op string, key string, value string"), ["key"]) == 2
+        assert dumped(s) == {"a": "1", "b": "2"}

@@ -1,6 +1,7 @@
 import random
+from datetime import datetime
 
-from palimpsest.operators.changefeed import current_rows, rebuild
+from palimpsest.operators.changefeed import current_rows, rebuild, replay_changes
 from palimpsest.operators.election import votes as batch_votes
 from palimpsest.session import scratch_path
 from palimpsest.store import Store
@@ -52,13 +53,14 @@ def test_a_change_feed_by_micro_batches_equals_one_replay(spark, rows):
     before = table.table.latest()
     table.apply(df, 0)  # delivered again
     assert table.table.latest() == before == 3
-    states = table.states(table.table.spark.read.parquet(f"{table.table.path}/{table.table.content()['folders'][0]}").schema)
+    schema = replay_changes(df, ["key"], "seq", "op", ["value"]).schema
+    states = table.states(schema)
     assert rows(current_rows(states, ["key"], ["value"])) == rows(rebuild(df, ["key"], "seq", "op", ["value"]))
 
 
 def test_replicated_entries_come_once(spark):
-    data = [(i % 40, "set", f"k{i % 40}", "v") for i in range(120)]
-    path = write_files(spark, data, "index bigint, operation string, key string, value string")
+    data = [(i % 40, "set", f"k{i % 40}", "v", datetime(2025, 1, 1, 0, i % 40)) for i in range(120)]
+    path = write_files(spark, data, "index bigint, operation string, key string, value string, appended_at timestamp")
     query = replication_stream(spark, path).writeStream.format("memory").queryName("once").option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
     finish(query)
     assert sorted(r["index"] for r in spark.table("once").collect()) == list(range(40))
@@ -75,3 +77,23 @@ def test_votes_as_keyed_state_equal_the_relation(spark):
     finish(query)
     expected = {r["seq"]: r["granted"] for r in batch_votes(spark.createDataFrame(asked, schema)).collect()}
     assert {r["seq"]: r["granted"] for r in spark.table("votes").collect()} == expected
+
+
+def test_a_micro_batch_that_comes_again_changes_no_figure(spark):
+    with Store(spark, scratch_path(spark, "store")) as store:
+        batch = spark.createDataFrame([(1, "SET", "a", "1"), (2, "SET", "b", "2")], MUTATION)
+        store.apply_batch(batch, "feed", 0)
+        before = store.stats()
+        store.apply_batch(batch, "feed", 0)
+        assert store.stats() == before and store.cells().count() == 2
+        store.apply_batch(batch.selectExpr("seq + 2 AS seq", "op", "key", "value"), "another", 0)
+        assert store.seq == 4
+
+
+def test_a_micro_batch_rewrites_only_the_buckets_it_touches(spark):
+    table = StateTable(spark, scratch_path(spark, "states"), ["key"], "seq", "op", ["value"])
+    table.apply(spark.createDataFrame([(i, "SET", f"k{i}", "v") for i in range(40)], MUTATION), 0)
+    before = table.table.content()["buckets"]
+    table.apply(spark.createDataFrame([(99, "SET", "k7", "w")], MUTATION), 1)
+    after = table.table.content()["buckets"]
+    assert len(before) > 10 and before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
