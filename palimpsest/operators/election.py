@@ -33,6 +33,26 @@ def winners(granted: DataFrame, nodes: int) -> DataFrame:
     return tally.where(F.col("votes") >= nodes // 2 + 1)
 
 
+def rounds(answers: DataFrame, nodes: int) -> DataFrame:
+    """The outcome of each attempt of a candidate to become leader, from the answers to it (attempt, candidate, term, phase, voter, granted).
+
+    First a majority must grant the pre-vote, or the attempt ends and no term is
+    begun. Then the candidate enters ``term``, votes for itself, and leads if a majority grants its vote.
+    The candidate supports itself in both phases, so answers in its own name count
+    for nothing; a voter's answers of one phase count as one, granted if any is.
+    ``phase`` is prevote or vote. One row per attempt: ``prevotes``, ``votes`` (null if there was no vote) and ``outcome``: no_prevote, lost or leader.
+    """
+    others = answers.where(~F.col("voter").eqNullSafe(F.col("candidate")))
+    each = others.groupBy("attempt", "candidate", "term", "phase", "voter").agg(F.bool_or(F.coalesce("granted", F.lit(False))).alias("yes"))
+    count = {p: F.sum(F.when((F.col("phase") == p) & F.col("yes"), 1).otherwise(0)).alias(f"_{p}") for p in ("prevote", "vote")}
+    tally = each.groupBy("attempt", "candidate", "term").agg(*count.values())
+    majority = nodes // 2 + 1
+    asked, won = F.col("_prevote") + 1 >= majority, F.col("_vote") + 1 >= majority
+    return tally.select(
+        "attempt", "candidate", "term", (F.col("_prevote") + 1).alias("prevotes"), F.when(asked, F.col("_vote") + 1).alias("votes"), F.when(~asked, "no_prevote").when(won, "leader").otherwise("lost").alias("outcome")
+    )
+
+
 def gaps(heartbeats: DataFrame, node: str, micros: str, timeout_us: int) -> DataFrame:
     """Heartbeats after which the next one of the node is later than ``timeout_us``: ``node``, ``gap_start_us``, ``gap_us``.
 

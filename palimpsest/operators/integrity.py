@@ -47,5 +47,5 @@ def missing(on_disk: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def files_for_key(manifest: DataFrame, key: str) -> DataFrame:
-    """The files that may hold ``key``, of any level: newest of level 0 first, then level by level, as ``read_order``."""
+    """The files that may hold ``key``, of any level, in no order: reads resolve by sequence number."""
     return manifest.where((F.col("min_key") <= key) & (F.col("max_key") >= key))

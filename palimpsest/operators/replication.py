@@ -57,6 +57,30 @@ def restored(snapshot: DataFrame, index: int, log: DataFrame) -> DataFrame:
     return live(base.unionByName(data_cells(suffix(log, index))))
 
 
+def compaction_due(log: DataFrame, threshold: int, *by: str) -> DataFrame:
+    """The log (of each ``by``) with its entries, whether they exceed ``threshold``, and the index that a snapshot would then be taken at. Copies of an entry count once."""
+    once = log.where(F.col("index").isNotNull()).select(*by, "index").distinct()
+    sizes = once.groupBy(*by).agg(F.count("*").alias("entries"), F.max("index").alias("_last"))
+    due = F.col("entries") > threshold
+    return sizes.select(*by, "entries", due.alias("is_due"), F.when(due, F.col("_last")).alias("snapshot_index"))
+
+
+def to_send(log: DataFrame, followers: DataFrame) -> DataFrame:
+    """What the next heartbeat sends to each of ``followers`` (node, index): the entries after its index, as ``node`` and the entry.
+
+    The followers are the nodes of one cluster; a null index has nothing yet. Indices tell what is sent, not places in a list, so that a compacted log sends no less.
+    """
+    have = [(r["node"], -1 if r["index"] is None else r["index"]) for r in followers.select("node", "index").collect()]
+    each = F.array(*(F.struct(F.lit(n).alias("node"), F.lit(i).cast("bigint").alias("has")) for n, i in have)) if have else F.expr("cast(array() AS array<struct<node:string,has:bigint>>)")
+    return log.withColumn("_to", F.explode(F.filter(each, lambda f: f["has"] < F.col("index")))).select(F.col("_to.node").alias("node"), *log.columns)
+
+
+def status(states: DataFrame) -> DataFrame:
+    """Term, vote, leader and last index of each node (store_id, node_url), by its saved state with the highest run number, then saved last."""
+    last = states.where("run_no IS NOT NULL").groupBy("store_id", "node_url").agg(F.max(F.struct("run_no", "saved_at", "term", "voted_for", "leader", "log_index")).alias("_s"))
+    return last.select("store_id", "node_url", *(F.col(f"_s.{c}").alias(c) for c in ("term", "voted_for", "leader", "log_index")))
+
+
 def members(log: DataFrame, *by: str) -> DataFrame:
     """The nodes (of each ``by``) after all membership entries; the last one about a node decides."""
     op = spelled(F.col("operation"))

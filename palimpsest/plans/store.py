@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ from palimpsest.operators.blocks import with_position
 from palimpsest.plans import tables as t
 from palimpsest.plans.tables import table
 from palimpsest.session import written
+from palimpsest.sources.formats import decode_segments, spliced, wal_frame
 
 CONFIG = EngineConfig()
-POINT, RANGE = "user_000015", ("user_000010", "user_000019")
+#: A key that exists, one that is deleted and one that is missing, at one size of the tables or another.
+POINTS, RANGE = ("user_000012", "user_000003", "user_000006", "user_000010", "nobody"), ("user_000010", "user_000019")
+POINT = POINTS[0]
 
 
 def _half(spark: SparkSession, sf: str) -> int:
@@ -32,12 +37,17 @@ def scan_latest(spark, sf):
     return mvcc.live(t.cells(spark, sf))
 
 
+def _points(cells: DataFrame, at: int | None = None) -> DataFrame:
+    """A point read of each of the keys."""
+    return reduce(DataFrame.unionByName, [mvcc.get(cells, key, at) for key in POINTS])
+
+
 def get_point(spark, sf):
-    return mvcc.get(t.cells(spark, sf), POINT)
+    return _points(t.cells(spark, sf))
 
 
 def get_at(spark, sf):
-    return mvcc.get(t.cells(spark, sf), POINT, _half(spark, sf))
+    return _points(t.cells(spark, sf), _half(spark, sf))
 
 
 def scan_range(spark, sf):
@@ -54,11 +64,11 @@ def scan_ordered(spark, sf):
 
 def get_layered(spark, sf):
     """A point read over memtable and levels; the layout doesn't matter to it."""
-    return mvcc.get(t.levels(spark, sf), POINT)
+    return _points(written(t.levels(spark, sf), "levels"))
 
 
 def multi_get(spark, sf):
-    return mvcc.multi_get(t.cells(spark, sf), t.probes(spark))
+    return mvcc.multi_get(t.cells(spark, sf), t.probes(spark, sf))
 
 
 def versions_by_key(spark, sf):
@@ -199,9 +209,20 @@ def checksum_verify(spark, sf):
     return integrity.verify_records(changed).select("seq", "is_valid")
 
 
+#: Records of one log segment.
+SEGMENT = 1000
+
+
 def wal_replay_prefix(spark, sf):
-    log = t.cells(spark, sf).withColumn("valid", F.col("seq") % 997 != 0)
-    return integrity.valid_prefix(log, "seq", F.col("valid")).select("key", "seq", "value", "is_tombstone")
+    """The log in binary segments, with a letter of every 997th record's key changed, read and replayed as one log."""
+    key = [F.col(c) for c in ("seq", "key", "value", "is_tombstone")]
+    frame = wal_frame(*key)
+    changed = F.when(F.col("seq") % 997 == 0, F.overlay(frame, F.unhex(F.lit("55")), 18, 1)).otherwise(frame)
+    each = t.cells(spark, sf).select(F.floor((F.col("seq") - 1) / SEGMENT).alias("n"), F.struct("seq", F.hex(changed).alias("f")).alias("r"))
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["f"]), ""))
+    segments = each.groupBy("n").agg(whole.alias("content")).select(F.concat(F.lit("wal-"), F.col("n").cast("string"), F.lit(".log")).alias("name"), "content")
+    records = written(decode_segments(segments), "records")
+    return mvcc.cells_from_mutations(spliced(records)).select("key", "seq", "value", "is_tombstone")
 
 
 def wal_segment_splice(spark, sf):
@@ -266,7 +287,7 @@ def bloom_sizing(spark, sf):
 def _bloom(spark, sf):
     files = _bloom_files(spark, sf)
     sizes = written(bloom.sizing(files, CONFIG.bloom_false_positive_rate), "sizes")
-    return files, sizes, written(bloom.build(files, sizes), "bits")
+    return files, sizes, written(bloom.build(files, sizes), "words")
 
 
 def bloom_build(spark, sf):
@@ -278,20 +299,20 @@ def _bloom_probes(files):
 
 
 def bloom_probe(spark, sf):
-    files, sizes, bits = _bloom(spark, sf)
-    return bloom.probe(bits, sizes, _bloom_probes(files))
+    files, sizes, words = _bloom(spark, sf)
+    return bloom.probe(words, sizes, _bloom_probes(files))
 
 
 def bloom_roundtrip(spark, sf):
-    """The bits after a filter was serialised and read again."""
-    _, sizes, bits = _bloom(spark, sf)
-    return bloom.deserialize(bloom.serialize(bits, sizes))
+    """The words after a filter was serialised and read again."""
+    _, sizes, words = _bloom(spark, sf)
+    return bloom.deserialize(bloom.serialize(words, sizes))
 
 
 def bloom_fpr(spark, sf):
     """Share of keys that no file holds which the filters let through."""
-    files, sizes, bits = _bloom(spark, sf)
-    asked = bloom.probe(bits, sizes, _bloom_probes(files)).where(F.col("key").startswith("nobody_"))
+    files, sizes, words = _bloom(spark, sf)
+    asked = bloom.probe(words, sizes, _bloom_probes(files)).where(F.col("key").startswith("nobody_"))
     return asked.groupBy("file_no").agg(F.avg(F.col("may_contain").cast("double")).alias("false_positive_rate"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans.store import POINT, RANGE
+from palimpsest.plans.store import POINT, POINTS, RANGE
 from palimpsest.plans.tables import LEVEL1_CHUNK, LEVEL1_FIRST
 
 M = """m AS (SELECT event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'SET' END AS op,
@@ -96,13 +96,13 @@ SQL = {
     "mutations_from_events": W + M + " SELECT seq, op, key, value FROM m",
     "scan_latest": W + M + " " + LIVE.format(newest("m")),
     "dump": W + M + " " + LIVE.format(newest("m")),
-    "get_point": W + M + " " + LIVE.format(newest("m", f"key = '{POINT}'")),
-    "get_layered": W + M + " " + LIVE.format(newest("m", f"key = '{POINT}'")),
-    "get_at": W + M + " " + LIVE.format(newest("m", f"key = '{POINT}' AND seq <= (SELECT n // 2 FROM n)")),
+    "get_point": W + M + " " + LIVE.format(newest("m", f"key IN {POINTS}")),
+    "get_layered": W + M + " " + LIVE.format(newest("m", f"key IN {POINTS}")),
+    "get_at": W + M + " " + LIVE.format(newest("m", f"key IN {POINTS} AND seq <= (SELECT n // 2 FROM n)")),
     "scan_range": W + M + " " + LIVE.format(newest("m", IN_RANGE)),
     "scan_at": W + M + " " + LIVE.format(newest("m", "seq <= (SELECT n // 2 FROM n)")),
     "scan_ordered": W + M + f" SELECT key, value, row_number() OVER (ORDER BY key) AS pos FROM {newest('m')} WHERE NOT is_tombstone",
-    "multi_get": W + M + f" SELECT p.key, l.value FROM (SELECT 'user_' || lpad(CAST(i AS VARCHAR), 6, '0') AS key FROM range(200) r(i)) p LEFT JOIN {newest('m')} l ON p.key = l.key AND NOT l.is_tombstone",
+    "multi_get": W + M + f" SELECT p.key, l.value FROM (SELECT 'user_' || lpad(CAST(i AS VARCHAR), 6, '0') AS key FROM (SELECT unnest(range(0, (SELECT max(user_id) + 51 FROM events))) AS i)) p LEFT JOIN {newest('m')} l ON p.key = l.key AND NOT l.is_tombstone",
     "versions_by_key": W + M + " SELECT key, seq // 1000 AS block, string_agg(CAST(seq AS VARCHAR) || CASE WHEN is_tombstone THEN '-' ELSE '+' END, ',' ORDER BY seq) AS versions FROM m GROUP BY key, seq // 1000",
     "version_intervals": W + M + " SELECT key, seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS superseded_at FROM m",
     "snapshot_diff": W
@@ -159,8 +159,8 @@ OR EXISTS (SELECT 1 FROM man WHERE level = 1 AND k.key BETWEEN man.min_key AND m
     "manifest_file_order": R + L + " SELECT level, file_name, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -file_no ELSE file_no END) AS read_order FROM man",
     "files_for_key": R + L + f" SELECT level, file_name, min_key, max_key FROM man WHERE '{POINT}' BETWEEN min_key AND max_key",
     "bloom_sizing": R + BLOOM + " SELECT file_no, capacity, bits, hashes FROM sizes",
-    "bloom_build": R + BLOOM + f" SELECT DISTINCT file_no, bit FROM {bits_of('keys')}",
-    "bloom_roundtrip": R + BLOOM + f" SELECT DISTINCT file_no, bit FROM {bits_of('keys')}",
+    "bloom_build": R + BLOOM + f" SELECT file_no, bit // 32 AS word_no, bit_or(CAST(1 AS BIGINT) << CAST(bit % 32 AS BIGINT)) AS word FROM {bits_of('keys')} GROUP BY file_no, bit // 32",
+    "bloom_roundtrip": R + BLOOM + f" SELECT file_no, bit // 32 AS word_no, bit_or(CAST(1 AS BIGINT) << CAST(bit % 32 AS BIGINT)) AS word FROM {bits_of('keys')} GROUP BY file_no, bit // 32",
     "bloom_probe": R + BLOOM + ", " + PROBES + " SELECT file_no, key, may_contain FROM probed",
     "bloom_fpr": R + BLOOM + ", " + PROBES + " SELECT file_no, avg(CAST(may_contain AS DOUBLE)) AS false_positive_rate FROM probed WHERE key LIKE 'nobody\\_%' ESCAPE '\\' GROUP BY file_no",
     "stats_levels": R + L + " SELECT level, count(DISTINCT file_no) AS sstables, count(*) AS records FROM l WHERE level IS NOT NULL GROUP BY level",

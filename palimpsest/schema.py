@@ -37,3 +37,5 @@ REPLICATION_ENTRY = T.StructType(
         T.StructField("value", T.StringType()),
     ]
 )
+
+SNAPSHOT = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.integrity import file_number, segment_number, verify_records
 from palimpsest.session import scratch_path
-from palimpsest.sources.formats import decode_wal, read_sstables, read_wal, wal_frame, write_sstables
+from palimpsest.sources.formats import decode_wal, read_sparse_index, read_sstables, read_wal, replay_wal, wal_frame, write_sparse_index, write_sstables
 
 CELLS = [("k", 1, "v", False), ("ключ", 2, "", False), ("k", 3, None, True), ('q"\\', 2**40, "a\tb\n", False)]
 SCHEMA = "key string, seq bigint, value string, is_tombstone boolean"
@@ -33,9 +33,9 @@ def test_replay_stops_at_the_first_bad_record():
     good = [frame(0, i, f"k{i}", "v") for i in range(3)]
     flipped = bytearray(good[1])
     flipped[10] ^= 1
-    assert [r[1] for r in decode_wal(good[0] + bytes(flipped) + good[2])] == [0]
-    assert [r[1] for r in decode_wal(good[0] + good[1][:-1])] == [0]
-    assert list(decode_wal(b"")) == [] and list(decode_wal(b"\x00\x00\x00\x00\x00\x00\x00\x00")) == []
+    assert [r and r[1] for r in decode_wal(good[0] + bytes(flipped) + good[2])] == [0, None]
+    assert [r and r[1] for r in decode_wal(good[0] + good[1][:-1])] == [0, None]
+    assert list(decode_wal(b"")) == [] and list(decode_wal(bytes(8))) == list(decode_wal(b"x")) == [None]
 
 
 def test_sstables_round_trip_and_corruption_is_an_error(spark, rows):
@@ -56,3 +56,22 @@ def test_lines_that_are_no_records(spark):
 def test_numbers_in_names(spark):
     df = spark.createDataFrame([("wal-10.log", "sst_12"), ("wal-x.log", "sst"), (None, None)], "w string, s string")
     assert [tuple(r) for r in df.select(segment_number(F.col("w")), file_number(F.col("s"))).collect()] == [(10, 12), (None, None), (None, None)]
+
+
+def test_a_bad_record_ends_the_replay_of_all_later_segments(spark, tmp_path):
+    good = [frame(0, i, f"k{i}", "v") for i in range(6)]
+    (tmp_path / "wal-2.log").write_bytes(good[0] + good[1])
+    (tmp_path / "wal-10.log").write_bytes(good[2] + good[3][:-2])
+    (tmp_path / "wal-11.log").write_bytes(good[4] + good[5])
+    assert sorted(r["seq"] for r in read_wal(spark, str(tmp_path)).collect()) == [0, 1, 2, 4, 5]
+    assert sorted(r["seq"] for r in replay_wal(spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+def test_sparse_index_round_trip_and_corruption_is_an_error(spark, rows):
+    entries = [("a", 0), ("ключ\t", 2**40), ("", 7)]
+    path, bad = scratch_path(spark, "index"), scratch_path(spark, "index")
+    write_sparse_index(spark.createDataFrame(entries, "key string, offset bigint"), path)
+    assert rows(read_sparse_index(spark, path)) == sorted(entries, key=repr)
+    spark.read.text(path).select(F.replace("value", F.lit('"k"'), F.lit('"K"')).alias("value")).write.text(bad)
+    with pytest.raises(Exception, match="corrupt record"):
+        read_sparse_index(spark, bad).collect()

@@ -10,8 +10,6 @@ from palimpsest.session import scratch_path
 from palimpsest.store import Store
 
 SF = "/root/testdata/sf0.001"
-#: Ranges of files, broadcast within a checked bound, are joined with tombstones.
-RANGE_JOINS = {"tombstone_gc"}
 
 
 def plan(df) -> str:
@@ -22,7 +20,7 @@ def plan(df) -> str:
 def test_no_cross_join_and_no_global_window(spark, name):
     text = plan(catalogue.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
-    assert name in RANGE_JOINS or "NestedLoopJoin" not in text
+    assert "NestedLoopJoin" not in text
     lines = text.splitlines()
     for i, line in enumerate(lines):
         if re.search(r"\bWindow\b", line):
