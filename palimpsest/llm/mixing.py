@@ -49,16 +49,17 @@ def draw(documents: DataFrame, plan: DataFrame, identity: Sequence[str], source:
     """The copies of the documents of each mixture: ``mix_id``, ``source``, ``identity``, ``size`` and ``copy_no`` from 0.
 
     A document comes floor(rate) times, and once more if a number that ``seed``, the
-    mixture and ``identity`` hash to, uniform in [0, 1), is below the fraction of the
+    mixture and ``identity`` hash to (the first 52 bits of an MD5 digest), uniform in [0, 1), is below the fraction of the
     rate; so at most ``max_repeats`` times, and alike in every run. Nothing but the
     plan, which is small, moves.
 
-    Rows that repeat all of ``identity`` are drawn alike. Null identities are drawn by
-    the rest of ``identity``. Other columns are ignored.
+    Rows that repeat all of ``identity`` are drawn alike. A null in ``identity`` counts
+    as an empty text. Other columns are ignored.
     """
     by = [F.col(f"`{c}`") for c in identity]
-    # The upper 53 bits of the hash, so that the fraction is exact in a double and below 1.
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix_id"), *by), 11) / F.lit(float(2**53))
+    # 52 bits are exact in a double.
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("mix_id").cast("string"), *(F.coalesce(c.cast("string"), F.lit("")) for c in by))
+    uniform = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
     rows = documents.select(*by, source_name(F.col(f"`{source}`")).alias("_source"), F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)).alias("_size"))
     rates = plan.select("mix_id", F.col("source").alias("_source"), "rate").where("rate > 0")
     whole = F.floor("rate")

@@ -2,44 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.ledger import KeyLedger, seen_before
-from palimpsest.llm.mixing import draw, mixture_plan, shares
-from palimpsest.llm.packing import fill, pack
+from palimpsest.llm.ledger import KeyLedger
+from palimpsest.llm.mixing import SEED, draw, mixture_plan, shares
+from palimpsest.llm.packing import OPEN_BINS, fill, pack
 from palimpsest.llm.truncation import cut_rates, truncated
-from palimpsest.plans.tables import table
+from palimpsest.plans.tables import in_batches, table
 from palimpsest.session import scratch_path, written
 
-#: Batches in which the records of a table come to the ledger.
-LEDGER_BATCHES = 4
+#: Records that come to the ledger in one batch, at most, and the least number of batches.
+LEDGER_BATCH, LEDGER_BATCHES = 1_000_000, 4
 
 
 # --- 1: has this key been seen before?
 
 
-def _ledger(spark: SparkSession, sf: str) -> KeyLedger:
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The records seen before: each batch, in order of arrival, as the ledger answers it."""
     rows = table(spark, sf, "sst_record").select("rec_id", "k")
     ledger = KeyLedger(spark, scratch_path(spark, "ledger"))
     ledger.seed(table(spark, sf, "key_ledger"), "k")
-    low, high = rows.agg(F.min("rec_id"), F.max("rec_id")).first()
-    if low is not None:
-        step = (high - low) // LEDGER_BATCHES + 1
-        for b in range(LEDGER_BATCHES):
-            ledger.add(rows.where(F.col("rec_id").between(low + b * step, low + (b + 1) * step - 1)), "k", "rec_id")
-    return ledger
+    return reduce(DataFrame.unionByName, [ledger.add(batch, "k", "rec_id", b) for b, batch in enumerate(in_batches(rows, "rec_id", LEDGER_BATCH, LEDGER_BATCHES))])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "sst_record").select("rec_id", "k")
-    return seen_before(rows, _ledger(spark, sf), "k", "rec_id").select("rec_id")
+    return _answers(spark, sf).select("rec_id")
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Records, those seen before, and the share of wrong answers, against the whole history at once."""
     rows = table(spark, sf, "sst_record").select("rec_id", "k")
-    said = seen_before(rows, _ledger(spark, sf), "k", "rec_id").select("rec_id").withColumn("said", F.lit(1))
+    said = _answers(spark, sf).select("rec_id").withColumn("said", F.lit(1))
     known = table(spark, sf, "key_ledger").select("k", F.lit(-1).cast("bigint").alias("rec_id")).unionByName(rows.select("k", "rec_id"))
     first = known.where("k IS NOT NULL").groupBy("k").agg(F.min("rec_id").alias("rec_id"))
     new = first.where("rec_id >= 0").select("rec_id").withColumn("new", F.lit(1))
@@ -66,13 +63,21 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _placements(spark, sf).where("piece_no = 1").select("spec_id", F.col("item_id").alias("doc_id"))
 
 
-def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
-    """Which piece of which document lies in which container."""
-    return _placements(spark, sf)
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each document: its pieces, their size together, and the largest and the smallest."""
+    return _placements(spark, sf).groupBy("spec_id", F.col("item_id").alias("doc_id")).agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("size"), F.max("piece_size").alias("largest"), F.min("piece_size").alias("smallest"))
+
+
+#: The share of the space that must be used, counting out what an open container of a partition may lack.
+LEAST_FILL = 0.95
 
 
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return fill(_placements(spark, sf))
+    """The packing against what any packing needs: containers at most the least number over ``LEAST_FILL`` and the open ones of the partitions; none above its capacity."""
+    placed = written(_placements(spark, sf), "placed")
+    partitions = placed.select(F.shiftright("container_id", 40).alias("p")).distinct().count()
+    bound = F.ceil(F.col("least_containers") / F.lit(LEAST_FILL)) + partitions * OPEN_BINS
+    return fill(placed).select("spec_id", "capacity", "size", "least_containers", (F.col("containers") >= F.col("least_containers")).alias("enough"), (F.col("containers") <= bound).alias("well_filled"), (F.col("fullest") > F.col("capacity")).alias("overfull"))
 
 
 def p6_placed(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +135,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_placed": p6_placed,
     "p6_fill": p6_fill,
-    "p6_containers": p6_containers,
+    "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_plan": p7_plan,
     "p7_draw": p7_draw,
@@ -157,6 +162,19 @@ plan AS (
 )
 """
 
+_P7_DRAWN = (
+    _P7.replace("SELECT lower(regexp", "SELECT doc_id, lower(regexp")
+    + f"""
+, rated AS (SELECT t.*, p.target_size, p.max_repeats * p.source_size < p.target_size AS short,
+    CASE WHEN p.source_size > 0 THEN least(p.target_size / p.source_size, CAST(p.max_repeats AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rate
+  FROM mix_target t JOIN plan p ON t.mix_id = p.mix_id AND t.source = p.source),
+copied AS (SELECT r.mix_id, r.source, d.doc_id, d.size, CAST(floor(r.rate) AS BIGINT)
+    + CASE WHEN CAST('0x' || substr(md5('{SEED}|' || r.mix_id || '|' || d.doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+  FROM sized d JOIN rated r ON d.source = r.source WHERE r.rate > 0),
+drawn AS (SELECT mix_id, source, doc_id, size, CAST(unnest(range(copies)) AS INTEGER) AS copy_no FROM copied)
+"""
+)
+
 SQL = {
     "p1_found": _P1 + "SELECT rec_id FROM found",
     "p1_report": _P1 + "SELECT (SELECT count(*) FROM sst_record) AS records, (SELECT count(*) FROM found) AS seen_before, CAST(0 AS DOUBLE) AS wrong_share",
@@ -164,6 +182,19 @@ SQL = {
     "p6_placed": _P6
     + """SELECT spec_id, capacity_tokens AS capacity, count(*) AS items, CAST(sum(CASE WHEN size > capacity_tokens THEN 1 ELSE 0 END) AS BIGINT) AS split_documents,
     CAST(sum(size) AS BIGINT) AS size, CAST(ceil(sum(size) / capacity_tokens) AS BIGINT) AS least_containers, false AS overfull FROM sized, container_spec GROUP BY spec_id, capacity_tokens""",
+    "p6_pieces": _P6
+    + """, p AS (SELECT spec_id, doc_id, size, capacity_tokens AS c, greatest(1, CAST(ceil(size / capacity_tokens) AS BIGINT)) AS pieces FROM sized, container_spec)
+    SELECT spec_id, doc_id, pieces, CAST(size AS BIGINT) AS size, least(size, c) AS largest, CAST(size - (pieces - 1) * c AS BIGINT) AS smallest FROM p""",
+    "p6_fill": _P6
+    + """SELECT spec_id, capacity_tokens AS capacity, CAST(sum(size) AS BIGINT) AS size, CAST(ceil(sum(size) / capacity_tokens) AS BIGINT) AS least_containers, true AS enough, true AS well_filled, false AS overfull
+    FROM sized, container_spec GROUP BY spec_id, capacity_tokens""",
+    "p7_draw": _P7_DRAWN + "SELECT mix_id, source, doc_id, CAST(size AS BIGINT) AS size, copy_no FROM drawn",
+    "p7_shares": _P7_DRAWN
+    + """, got AS (SELECT mix_id, source, CAST(sum(size) AS BIGINT) AS drawn_size, count(*) AS copies, max(copy_no) + 1 AS most_repeats FROM drawn GROUP BY mix_id, source),
+    whole AS (SELECT mix_id, sum(drawn_size) AS mix_size FROM got GROUP BY mix_id)
+    SELECT r.mix_id, r.source, r.target_share, r.rate, r.short, coalesce(g.drawn_size, 0) AS drawn_size, coalesce(g.copies, 0) AS copies, coalesce(g.most_repeats, 0) AS most_repeats,
+    coalesce(g.drawn_size, 0) / (CASE WHEN r.target_share > 0 THEN r.target_size / r.target_share END) AS share_of_budget, coalesce(g.drawn_size, 0) / w.mix_size AS share_of_drawn
+    FROM rated r LEFT JOIN got g ON r.mix_id = g.mix_id AND r.source = g.source LEFT JOIN whole w ON r.mix_id = w.mix_id""",
     "p7_found": _P7 + "SELECT DISTINCT mix_id, source FROM plan WHERE max_repeats * source_size < target_size",
     "p7_plan": _P7
     + """SELECT mix_id, source, source_size, target_size, CASE WHEN source_size > 0 THEN least(target_size / source_size, CAST(max_repeats AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rate,

@@ -1,6 +1,8 @@
 import random
 
-from palimpsest.llm.ledger import KeyLedger, seen_before
+import pytest
+
+from palimpsest.llm.ledger import KeyLedger
 from palimpsest.session import scratch_path
 
 SCHEMA = "k string, pos bigint, _key string, _first string"
@@ -8,11 +10,11 @@ SCHEMA = "k string, pos bigint, _key string, _first string"
 
 def generate(seed, n=300):
     rng = random.Random(seed)
-    keys = ["hot"] * 10 + ["a", "A", "a ", "é", "é", "", None, *(f"k{i}" for i in range(60))]
+    keys = ["hot"] * 10 + ["a", "A", "a ", "é", "e\u0301", "", None, *(f"k{i}" for i in range(60))]
     return [(rng.choice(keys), p, "x", "y") for p in range(n)]
 
 
-def expected(data, known):
+def expected(data, known=()):
     seen, out = set(known), []
     for k, p, *_ in data:
         if k is not None and k in seen:
@@ -21,54 +23,89 @@ def expected(data, known):
     return out
 
 
-def ledger(spark, known):
-    made = KeyLedger(spark, scratch_path(spark, "ledger"), buckets=3)
+def ledger(spark, known=(), **options):
+    made = KeyLedger(spark, scratch_path(spark, "ledger"), **options)
     made.seed(spark.createDataFrame([(k,) for k in known], "key string"), "key")
     return made
 
 
-def test_batches_equal_one_pass(spark):
-    data, known = generate(1), ["k1", "k2", "k2", None]
-    made = ledger(spark, known)
-    for b in range(0, 300, 100):
-        made.add(spark.createDataFrame(data[b : b + 100], SCHEMA).repartition(3), "k", "pos")
-    got = seen_before(spark.createDataFrame(data, SCHEMA), made, "k", "pos")
-    assert sorted(r["pos"] for r in got.collect()) == expected(data, {"k1", "k2"})
-    assert got.columns == ["k", "pos", "_key", "_first"]
+def add(spark, made, data, n):
+    return sorted(r["pos"] for r in made.add(spark.createDataFrame(data, SCHEMA).repartition(3), "k", "pos", n).collect())
 
 
-def test_a_batch_added_again_or_late_changes_no_answer(spark):
-    data = generate(2, 200)
-    made = ledger(spark, [])
-    parts = [spark.createDataFrame(data[b : b + 100], SCHEMA) for b in (0, 100)]
-    for p in (parts[1], parts[0], parts[1], parts[0]):
-        made.add(p, "k", "pos")
-    got = seen_before(spark.createDataFrame(data, SCHEMA), made, "k", "pos")
-    assert sorted(r["pos"] for r in got.collect()) == expected(data, set())
+def test_every_batch_is_answered_as_in_one_pass(spark):
+    data = generate(1)
+    made = ledger(spark, ["k1", "k2", "k2", None], buckets=3)
+    got = [p for n in range(3) for p in add(spark, made, data[100 * n : 100 * n + 100], n)]
+    assert got == expected(data, {"k1", "k2"})
+    rows = made.add(spark.createDataFrame(data[:1], SCHEMA), "k", "pos", 3)
+    assert rows.columns == ["k", "pos", "_key", "_first"]
 
 
-def test_the_files_are_continued_under_another_name(spark):
-    first = ledger(spark, ["a"])
-    again = KeyLedger(spark, first.path, buckets=3)
-    rows = spark.createDataFrame([("a", 1, "", ""), ("b", 2, "", "")], SCHEMA)
-    again.add(rows, "k", "pos")
-    assert [r["k"] for r in seen_before(rows, again, "k", "pos").collect()] == ["a"]
+def test_a_batch_added_again_has_the_same_answer_and_changes_nothing(spark):
+    data = generate(2, 200)
+    made = ledger(spark)
+    first = add(spark, made, data[:100], 0)
+    version = made.table.latest()
+    assert add(spark, made, data[:100], 0) == first and made.table.latest() == version
+    second = add(spark, made, data[100:], 1)
+    assert add(spark, made, data[100:], 1) == second and add(spark, made, data[:100], 0) == first
+    assert first + second == expected(data)
+
+
+def test_a_batch_that_was_lost_half_way_leaves_nothing(spark, monkeypatch):
+    data = generate(3, 100)
+    made = ledger(spark)
+    monkeypatch.setattr(made.table, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        made.add(spark.createDataFrame(data, SCHEMA), "k", "pos", 0)
+    monkeypatch.undo()
+    assert add(spark, made, data, 0) == expected(data)
+
+
+def test_reopened_under_other_settings_it_stays_exact_or_is_refused(spark):
+    """With 3 buckets written, and 5 shuffle partitions when read: every key must be recognised."""
+    data = [(f"k{i}", i, "", "") for i in range(1000)]
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        made = ledger(spark)
+        assert add(spark, made, data, 0) == []
+        for n, partitions in ((1, 5), (2, 2), (3, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            again = KeyLedger(spark, made.path)
+            assert again.runs.buckets == 3
+            assert add(spark, again, [(k, p + 1000 * n, "", "") for k, p, *_ in data], n) == [p + 1000 * n for p in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    with pytest.raises(ValueError, match="defined as"):
+        KeyLedger(spark, made.path, buckets=5)
+
+
+def test_many_small_batches_keep_few_runs(spark):
+    data = generate(4, 180)
+    made = ledger(spark, ["k5"])
+    got = [p for n in range(9) for p in add(spark, made, data[20 * n : 20 * n + 20], n)]
+    assert got == expected(data, {"k5"}) and len(made.table.content()["runs"]) < 8
+    assert made.table.content()["batches"] == {"upto": 8, "beyond": []}
+    assert made.history().select("_key").distinct().count() == made.history().count()
 
 
 def test_empty_tables_and_long_keys(spark):
-    made = ledger(spark, [])
+    made = ledger(spark)
     empty = spark.createDataFrame([], SCHEMA)
-    made.add(empty, "k", "pos")
-    assert seen_before(empty, made, "k", "pos").count() == 0
-    rows = spark.createDataFrame([("x" * 100_000, 1, "", ""), ("x" * 100_000, 2, "", "")], SCHEMA)
-    made.add(rows, "k", "pos")
-    assert [r["pos"] for r in seen_before(rows, made, "k", "pos").collect()] == [2]
-
-
-def test_the_history_is_not_shuffled(spark):
-    made = KeyLedger(spark, scratch_path(spark, "ledger"))
-    made.seed(spark.createDataFrame([("a",)], "key string"), "key")
-    batch = spark.range(10).selectExpr("cast(id AS string) AS _key").groupBy("_key").count()
-    history = made.history().selectExpr("_key", "_first AS _known").hint("merge")
-    plan = batch.join(history, "_key", "left")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert made.add(empty, "k", "pos", 0).count() == 0 and made.history().count() == 0
+    assert add(spark, made, [("x" * 100_000, 1, "", ""), ("x" * 100_000, 2, "", ""), ("y", None, "", ""), ("z", 3, "", ""), ("z", 3, "", "")], 1) == [2]
+
+
+def test_neither_append_nor_answer_shuffles_or_broadcasts_the_history(spark, monkeypatch):
+    made = ledger(spark, [f"k{i}" for i in range(50)])
+    plans = []
+    write = made.runs.write
+    monkeypatch.setattr(made.runs, "write", lambda rows: plans.append(rows) or write(rows))
+    answer = made.add(spark.createDataFrame(generate(5, 50), SCHEMA), "k", "pos", 0)
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    history = text.index("Scan parquet")
+    assert "SortMergeJoin" in text and "Bucketed: true" in text and "Exchange" not in text[history - 300 :] and "Broadcast" not in text
+    # The answer reads the batch's own new keys alone.
+    folders = {p.split("/data/")[1].split("/")[0] for p in answer.inputFiles() if "/data/" in p}
+    assert folders == {made.table.content()["runs"][-1]["folder"].split("/")[1]}
