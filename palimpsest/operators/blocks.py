@@ -21,15 +21,17 @@ from palimpsest.operators.joins import estimated_bytes
 from palimpsest.session import written
 
 #: Bytes of a block, by the optimizer's estimate, and how many times the session's shuffle partitions there may be blocks for that.
-BLOCK_BYTES, BLOCKS_PER_TASK = 256_000_000, 16
+BLOCK_BYTES, BLOCKS_PER_TASK = 32_000_000, 16
+#: An estimate from here on says that nothing is known.
+UNKNOWN_BYTES = 2**62
 #: Blocks, or groups of blocks, whose transfer tables one task composes.
 FAN = 64
 
 
 def block_count(df: DataFrame) -> int:
-    """In how many blocks ``df`` is cut at most: the session's shuffle partitions, more if they would be large."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(tasks, min(math.ceil(estimated_bytes(df) / BLOCK_BYTES), tasks * BLOCKS_PER_TASK))
+    """In how many blocks ``df`` is cut at most, by its size; one is one task's work."""
+    tasks, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df)
+    return tasks if size >= UNKNOWN_BYTES else max(1, min(math.ceil(size / BLOCK_BYTES), tasks * BLOCKS_PER_TASK))
 
 
 def in_blocks(df: DataFrame, order: Sequence[str], count: int | None = None) -> DataFrame:
@@ -51,8 +53,10 @@ def with_carry(blocks: DataFrame, carry: dict[int, object], kind: str, name: str
     return blocks.join(F.broadcast(rows), "_block", "left")
 
 
-def _summed_before(blocks: DataFrame, amount: Column) -> DataFrame:
-    """``blocks`` with ``_carry``, the sum of ``amount`` over all earlier blocks. One number per block comes to the driver."""
+def _summed_before(blocks: DataFrame, amount: Column, count: int) -> DataFrame:
+    """``blocks``, at most ``count``, with ``_carry``, the sum of ``amount`` over all earlier blocks. One number per block comes to the driver."""
+    if count == 1:
+        return blocks.withColumn("_carry", F.lit(0).cast("bigint"))
     carry, total = {}, 0
     for b, s in sorted((r[0], r[1] or 0) for r in blocks.groupBy("_block").agg(F.sum(amount)).collect()):
         carry[b] = total
@@ -62,14 +66,16 @@ def _summed_before(blocks: DataFrame, amount: Column) -> DataFrame:
 
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
     """``df`` with each row's position in ``order``, from 1."""
-    return _summed_before(in_blocks(df, order), F.lit(1)).withColumn(name, F.col("_carry") + F.col("_row") + 1).drop("_block", "_row", "_carry")
+    count = block_count(df)
+    return _summed_before(in_blocks(df, order, count), F.lit(1), count).withColumn(name, F.col("_carry") + F.col("_row") + 1).drop("_block", "_row", "_carry")
 
 
 def with_running_sum(df: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows up to and including each."""
-    blocks = in_blocks(df, order)
+    count = block_count(df)
+    blocks = in_blocks(df, order, count)
     within = F.sum(f"`{amount}`").over(W.partitionBy("_block").orderBy("_row").rowsBetween(W.unboundedPreceding, 0))
-    return _summed_before(blocks.withColumn("_within", within), F.col(f"`{amount}`")).withColumn(name, F.col("_carry") + F.col("_within")).drop("_block", "_row", "_carry", "_within")
+    return _summed_before(blocks.withColumn("_within", within), F.col(f"`{amount}`"), count).withColumn(name, F.col("_carry") + F.col("_within")).drop("_block", "_row", "_carry", "_within")
 
 
 class CloseAfter:
@@ -243,9 +249,7 @@ def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAft
         found = _transfer(rule, np.cumsum(pdf.sort_values("_row")["_size"].to_numpy()))
         return found.assign(node=int(pdf["_block"].iloc[0]))[["node", *_TABLE]]
 
-    starts = _block_starts(sizes.applyInPandas(tables, _NODES), count)
-    # The last group of all rows has ended only if it was closed by a row.
-    last = starts.pop(-1, (0, 0))[1] if isinstance(rule, CloseAfter) else None
+    starts = _block_starts(sizes.applyInPandas(tables, _NODES), count) if count > 1 else {0: (0, 0)}
 
     def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["_block"].iloc[0])
@@ -256,8 +260,18 @@ def greedy_groups(df: DataFrame, order: Sequence[str], size: str, rule: CloseAft
 
     marks = sizes.applyInPandas(cuts, "_block int, _row bigint, _group bigint").withColumn("_cut", F.lit(1))
     upto = W.partitionBy("_block").orderBy("_row", "_cut").rowsBetween(W.unboundedPreceding, 0)
-    numbered = blocks.drop("_size").withColumn("_cut", F.lit(0)).unionByName(marks, allowMissingColumns=True).withColumn(name, F.max("_group").over(upto)).where("_cut = 0")
-    return numbered.drop("_block", "_row", "_group", "_cut").withColumn("_sealed", F.lit(True) if last is None else F.col(name) < last)
+    numbered = blocks.drop("_size").withColumn("_cut", F.lit(0)).unionByName(marks, allowMissingColumns=True).withColumn(name, F.max("_group").over(upto))
+    if count == 1:
+        numbered = numbered.withColumn("_last", F.max("_group").over(W.partitionBy("_block")))
+    numbered = numbered.where("_cut = 0")
+    if isinstance(rule, OpenBefore):
+        sealed = F.lit(True)
+    elif count > 1:
+        sealed = F.col(name) < starts[-1][1] if starts else F.lit(False)
+    else:
+        sealed = F.col(name) < F.col("_last")
+    # The last group of all rows has ended only if it was closed by a row.
+    return numbered.withColumn("_sealed", sealed).drop("_block", "_row", "_group", "_cut", "_last")
 
 
 def next_in_key(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1_000_000, previous: bool = False) -> DataFrame:
