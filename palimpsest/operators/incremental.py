@@ -27,7 +27,7 @@ class IncrementalTarget:
     ``columns`` are further output columns. Source rows with a null in ``key`` or
     ``version`` are compared as values, null equalling null. Rows repeated in the
     source are processed once. An empty source publishes a version without new rows. Names in ``key``, ``version`` and ``columns`` must
-    differ; other columns of the source are ignored. A target that exists keeps its
+    differ; other columns of the source are ignored (``_id`` is the target's own and is replaced). A target that exists keeps its
     number of buckets; another definition is refused.
     """
 
@@ -55,6 +55,10 @@ class IncrementalTarget:
 
     def pending(self, source: DataFrame) -> DataFrame:
         """The rows of ``source`` whose key and version no output row holds."""
+        return self._pending(source).drop("_id")
+
+    def _pending(self, source: DataFrame) -> DataFrame:
+        """:meth:`pending` with ``_id``, by which its rows lie in their partitions."""
         identified = source.withColumn("_id", self._identity(source))
         tasks = int(self.table.spark.conf.get("spark.sql.shuffle.partitions"))
         if self.runs.buckets < tasks:
@@ -65,7 +69,7 @@ class IncrementalTarget:
             done = run.select(F.col("_id").alias("_done")).hint("merge")
             identified = identified.join(done, identified["_id"] == done["_done"], "left_anti")
         # What is pending is little beside the source, so repeats go after the joins.
-        return identified.dropDuplicates(["_id"]).drop("_id")
+        return identified.dropDuplicates(["_id"])
 
     def _published(self, runs: list[dict], after: int) -> int:
         self.runs.check(self.table.content(after).get("target"))
@@ -74,8 +78,12 @@ class IncrementalTarget:
     def publish(self, output: DataFrame, after: int | None = None) -> int:
         """Write ``output`` and publish it, on top of version ``after`` (else the latest), as the next version."""
         after = self.table.latest() if after is None else after
-        stored = output.select(self._identity(output).alias("_id"), *(output[f"`{c}`"].cast(self.schema[c].dataType).alias(f"_c{i}") for i, c in enumerate(self._rest)))
-        run = self.runs.write(stored.repartition(self.runs.buckets, "_id"))
+        rest = [output[f"`{c}`"].cast(self.schema[c].dataType).alias(f"_c{i}") for i, c in enumerate(self._rest)]
+        if "_id" in output.columns and output.schema["_id"].dataType == self.runs.schema["_id"].dataType:
+            stored = output.select("_id", *rest)  # still as :meth:`run` had it partitioned, unless it was processed otherwise
+        else:
+            stored = output.select(self._identity(output).alias("_id"), *rest).repartition(self.runs.buckets, "_id")
+        run = self.runs.write(stored)
         return self._published(self.runs.merged([*self.table.content(after).get("runs", []), *([run] if run else [])], lambda r: r.repartition(self.runs.buckets, "_id")), after)
 
     def retract(self, condition: Callable[[DataFrame], DataFrame]) -> int:
@@ -89,4 +97,4 @@ class IncrementalTarget:
     def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
         """One run; of two at a time one raises Conflict and leaves nothing."""
         after = self.table.latest()
-        return self.publish(process(self.pending(source)), after)
+        return self.publish(process(self._pending(source)), after)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from palimpsest.sources.versioned import VersionedTable
 
 #: Runs of like size that are merged into one.
-MERGED_RUNS = 4
+MERGED_RUNS = 8
 
 
 class BucketedRuns:
