@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.operators.joins import lookup_join
 from palimpsest.sources.bucketed import BucketedRuns
 from palimpsest.sources.versioned import VersionedTable, applied, with_applied
 
@@ -54,11 +55,15 @@ class DeliveryTable:
         value = self.partition.cast("string")
         return rows.withColumn("_part", F.when(value.isNull(), "null").otherwise(F.concat(F.lit("v"), value)))
 
-    def _winners(self, rows: DataFrame) -> DataFrame:
-        """One row per identifier, as ``_i<n>`` and the struct ``_row``; the struct's order of comparison is the rule."""
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as their identifier, ``_i<n>``, and the struct ``_row``, whose order of comparison is the rule."""
         o = F.col(f"`{self.order}`")
         rest = (F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(self._rest()))
-        return self._placed(rows).groupBy(*self._ids()).agg(F.min(F.struct(o.isNull().alias("last"), o.alias("o"), F.col("_part").alias("part"), *rest)).alias("_row"))
+        return self._placed(rows).select(*self._ids(), F.struct(o.isNull().alias("last"), o.alias("o"), F.col("_part").alias("part"), *rest).alias("_row"))
+
+    def _winners(self, rows: DataFrame) -> DataFrame:
+        """One row per identifier, of any number of copies."""
+        return self._ranked(rows).groupBy(*self.index.by).agg(F.min("_row").alias("_row"))
 
     def _rest(self) -> list[str]:
         return [f.name for f in self.schema if f.name not in (self.order, *self.ident)]
@@ -106,10 +111,11 @@ class DeliveryTable:
         fresh = incoming.where("_known IS NULL") if affected else incoming
         rows = fresh.select(*self._columns())
         if affected:
-            # Incoming copies are few beside what they meet, yet all of a partition is reduced again.
-            history = self._read({p: parts.pop(p) for p in affected})
-            met = incoming.where("_known IS NOT NULL").select(*self._columns()).drop("_part")
-            rows = rows.unionByName(self._winners(history.unionByName(met)).select(*self._columns()))
+            # Every identifier is there once on either side, and each that comes in is in one of these partitions: its winner is
+            # the less of two. Where few come in, they go to the partitions, which are then moved only to be written.
+            history = self._ranked(self._read({p: parts.pop(p) for p in affected}))
+            met = incoming.where("_known IS NOT NULL").select(*self.index.by, F.col("_row").alias("_met"))
+            rows = rows.unionByName(lookup_join(history, met, self.index.by, "left", spread=self.index.by).withColumn("_row", F.least("_row", "_met")).select(*self._columns()))
         unnamed = batch.where(~named).distinct().withColumn("_part", F.lit(_UNNAMED))
         folder, made = self._save(rows.unionByName(unnamed))
         for p in made:
