@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,14 +92,12 @@ def followers(states: DataFrame) -> DataFrame:
     )
 
 
-def bases(states: DataFrame) -> DataFrame:
-    """Of each store and address the index confirmed by, and the start of, the last successful run that gives it a number."""
-    confirmed = states.where("lower(outcome) = 'ok'").select("store_id", "run_no", "started_at", F.explode("follower_indices").alias("url", "confirmed")).where("confirmed IS NOT NULL")
-    return (
-        confirmed.groupBy("store_id", _address(F.col("url")).alias("address"))
-        .agg(F.max(F.struct("run_no", "confirmed", "started_at")).alias("base"))
-        .select("store_id", "address", F.col("base.confirmed").alias("confirmed"), F.col("base.started_at").alias("base_started_at"))
-    )
+def bases(states: DataFrame, bounds: Sequence[int]) -> DataFrame:
+    """Of each store and address, for each of ``bounds``, the index confirmed by, and the start of, the last successful run up to that number which gives it one: ``confirmed<i>``, ``started<i>``."""
+    confirmed = states.where("lower(outcome) = 'ok' AND run_no IS NOT NULL").select("store_id", "run_no", "started_at", F.explode("follower_indices").alias("url", "confirmed")).where("confirmed IS NOT NULL")
+    run = F.struct("run_no", "confirmed", "started_at")
+    last = confirmed.groupBy("store_id", _address(F.col("url")).alias("address")).agg(*(F.max(F.when(F.col("run_no") <= n, run)).alias(f"_{i}") for i, n in enumerate(bounds)))
+    return last.select("store_id", "address", *(F.col(f"_{i}.{c}").alias(f"{n}{i}") for i in range(len(bounds)) for c, n in (("confirmed", "confirmed"), ("started_at", "started"))))
 
 
 def shipments(entries: DataFrame, receivers: DataFrame) -> DataFrame:
@@ -105,10 +105,15 @@ def shipments(entries: DataFrame, receivers: DataFrame) -> DataFrame:
     return lookup_join(entries, receivers, ["store_id"], spread=["index"])
 
 
+def _covered(i: int) -> str:
+    """Whether the base up to the i-th bound confirms an entry. A run that doesn't say when it began can't tell that an entry came after it."""
+    return f"coalesce(index <= confirmed{i} AND NOT coalesce(first_appended_at > started{i}, false), false)"
+
+
 def shipped_by_runs(spark: SparkSession, entries: DataFrame, states: DataFrame, receivers: DataFrame) -> IncrementalTarget:
     """The target of the shipping runs, replayed in order of their numbers: what a successful run confirms is published as output, a run that did not succeed leaves nothing.
 
-    Every publish covers the next part of the run numbers and reads of the source only
+    Every publish covers the next part of the run numbers and takes of the source only
     what its runs confirm beyond the runs before. A follower whose later run confirms
     less than an earlier one has the rest retracted: its last run decides.
     """
@@ -116,26 +121,19 @@ def shipped_by_runs(spark: SparkSession, entries: DataFrame, states: DataFrame,
     low, high = states.agg(F.min("run_no"), F.max("run_no")).first()
     if low is None:
         return target
-    on = ["store_id", "address"]
-    before = receivers.withColumns({"was": F.lit(None).cast("bigint"), "was_started_at": F.lit(None).cast("timestamp_ntz")})
-    for i in range(1, REPLAYS + 1):
-        upto = low + (high - low + 1) * i // REPLAYS - 1
-        now = written(before.join(bases(states.where(F.col("run_no") <= upto)), on, "left"), "bases")  # a row per follower
-        less = now.where("confirmed < was OR base_started_at < was_started_at")
-        if not less.isEmpty():
-            back = less.select("store_id", "node_url", "confirmed", "base_started_at")
-            target.retract(lambda rows, back=back: lookup_join(rows, back, ["store_id", "node_url"], "left", spread=["index"]).where(f"confirmed IS NULL OR ({_COVERED})"))
-        new = shipments(entries, now.where("confirmed IS NOT NULL")).where(f"{_COVERED} AND NOT coalesce({_COVERED_BEFORE}, false)")
-        target.run(new)
-        before = now.select("store_id", "node_url", "address", F.col("confirmed").alias("was"), F.col("base_started_at").alias("was_started_at"))
+    bounds = [low + (high - low + 1) * i // REPLAYS - 1 for i in range(1, REPLAYS + 1)]
+    based = written(receivers.join(bases(states, bounds), ["store_id", "address"], "left"), "bases")  # a row per follower
+    less = [F.expr(f"confirmed{i} < confirmed{i - 1} OR started{i} < started{i - 1} OR (confirmed{i - 1} IS NOT NULL AND started{i - 1} IS NULL AND started{i} IS NOT NULL)") for i in range(1, REPLAYS)]
+    fell = [False, *based.agg(*(F.coalesce(F.bool_or(c), F.lit(False)) for c in less)).first()]
+    source = shipments(entries, based)
+    for i in range(REPLAYS):
+        if fell[i]:
+            now = based.where(f"confirmed{i} IS NOT NULL").select("store_id", "node_url", f"confirmed{i}", f"started{i}")
+            target.retract(lambda rows, now=now, i=i: lookup_join(rows, now, ["store_id", "node_url"], "left", spread=["index"]).where(_covered(i)))
+        target.run(source.where(_covered(i) + (f" AND NOT {_covered(i - 1)}" if i else "")))
     return target
 
 
-# A run that doesn't say when it began can't tell that an entry came after it.
-_COVERED = "index <= confirmed AND NOT coalesce(first_appended_at > base_started_at, false)"
-_COVERED_BEFORE = "index <= was AND NOT coalesce(first_appended_at > was_started_at, false)"
-
-
 def _shipping(spark: SparkSession, sf: str) -> tuple[DataFrame, IncrementalTarget]:
     """The source, every leader's entry with its version (the first time it was appended) for every follower, and the target of the runs so far."""
     states = table(spark, sf, "raft_state")
