@@ -28,6 +28,10 @@ from palimpsest.operators.joins import lookup_join
 from palimpsest.session import written
 
 
+#: Rows up to which a lookup that grows with the number of texts is broadcast.
+GROWING_ROWS = 10_000
+
+
 @dataclass(frozen=True)
 class Evidence:
     """Log likelihood ratios, cut to complete.
@@ -156,9 +160,10 @@ def with_recurrence(ends: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     # What is read more than once is written: a few numbers per text with a form.
     blocks = written(ends.where("form IS NOT NULL").groupBy("form", "block").agg(F.min("broken_off").alias("_all"), F.max("broken_off").cast("bigint").alias("_own")), "blocks")
     forms = written(blocks.groupBy("form").agg(F.sum("_own").alias("_with"), F.sum(1 - F.col("_own")).alias("_without")).where("_with > 0"), "forms")
-    # A form may hold a third of the blocks; forms with a line break are far fewer than texts.
-    known = written(lookup_join(blocks, forms, ["form"], "left", spread=["block"]), "known")
-    joined = lookup_join(ends, known, ["form", "block"], "left", spread=["doc_id", "chars"])
+    # A form may hold a third of the blocks. Texts that end otherwise take no part in the join.
+    known = written(lookup_join(blocks, forms, ["form"], "left", max_rows=GROWING_ROWS, spread=["block"]), "known")
+    joined = lookup_join(ends.where("form IS NOT NULL"), known, ["form", "block"], "left", max_rows=GROWING_ROWS, spread=["doc_id", "chars"])
+    joined = joined.unionByName(ends.where("form IS NULL"), allowMissingColumns=True)
     with_break = F.coalesce(F.col("_with") - F.col("_own"), F.lit(0))
     without = F.coalesce(F.col("_without") - (1 - F.col("_own")), F.lit(0))
     says = with_break * math.log(e.break_if_complete / e.break_if_cut) + without * math.log((1 - e.break_if_complete) / (1 - e.break_if_cut))
