@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.ledger import KeyLedger
 from palimpsest.llm.mixing import SEED, draw, mixture_plan, shares
 from palimpsest.llm.packing import OPEN_BINS, fill, pack
-from palimpsest.llm.truncation import cut_rates, truncated
+from palimpsest.llm import truncation
+from palimpsest.llm.truncation import cut_rates, endings, truncated
 from palimpsest.plans.tables import in_batches, table
 from palimpsest.session import scratch_path, written
 
@@ -53,6 +54,7 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _placements(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document packed for every specification; these are parameters, a handful, and come to the driver."""
     specs = [(r["spec_id"], r["capacity_tokens"]) for r in table(spark, sf, "container_spec").select("spec_id", "capacity_tokens").distinct().collect()]
     items = table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("size"))
     return pack(items, "doc_id", "size", specs)
@@ -125,6 +127,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncated(table(spark, sf, "documents")).where("is_cut").select("doc_id").distinct()
 
 
+def p8_endings(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of each text's ending, and its lengths: the evidence that needs no other text."""
+    return endings(table(spark, sf, "documents")).select("doc_id", "chars", "bytes", "state")
+
+
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return cut_rates(truncated(table(spark, sf, "documents")))
 
@@ -143,6 +150,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_judged": p8_judged,
     "p8_rates": p8_rates,
+    "p8_endings": p8_endings,
 }
 
 _P1 = """
@@ -175,6 +183,32 @@ drawn AS (SELECT mix_id, source, doc_id, size, CAST(unnest(range(copies)) AS INT
 """
 )
 
+
+def _text(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_P8 = f"""
+WITH t AS (SELECT doc_id, text, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, rtrim(x, chr(10)) AS body, length(x) - length(rtrim(x, chr(10))) AS breaks FROM t),
+c AS (SELECT *, string_split(body, chr(10) || chr(10))[-1] AS block FROM b),
+d AS (SELECT *, regexp_matches(block, {_text(truncation._MARKS)}) AS marked FROM c),
+e AS (SELECT *, CASE WHEN marked THEN regexp_extract(block, {_text(rf"(?s)^.*{truncation._MARKS}[^\n]*\n?(.*)$")}, 1) ELSE block END AS cue FROM d),
+f AS (SELECT *, trim(regexp_replace(string_split(cue, chr(10))[-1], '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), ' ') AS line FROM e),
+g AS (SELECT *, string_split(line, ' ')[1] AS head, string_split(line, ' ')[-1] AS tail FROM f)
+SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes, CASE
+  WHEN NOT marked AND regexp_matches(block, {_text(truncation._PARTIAL_HEADER)}) THEN 'header'
+  WHEN marked AND line = '' THEN 'empty'
+  WHEN suffix(line, chr(65533)) THEN 'broken'
+  WHEN regexp_matches(cue, '<[^>]*$|\\{{[^}}]*$|\\[[^\\]]*$|\\([^)]*$') OR (regexp_matches(line, '^♪[^♪]*(?:♪[^♪]*♪[^♪]*)*$') AND NOT regexp_matches(line, '[^♪]♪$')) THEN 'open'
+  WHEN regexp_matches(line, '(?:^|[^.])\\.\\.$') THEN 'two_dots'
+  WHEN breaks = 0 AND regexp_matches(cue, '[ \\t]$') THEN 'space'
+  WHEN breaks = 0 AND regexp_matches(line, {_text(truncation._ELLIPSIS + "$")}) THEN 'ellipsis'
+  WHEN regexp_matches(line, {_text(truncation._CLOSED)}) OR (head = tail AND head <> line AND NOT regexp_matches(head, '^[\\p{{L}}\\p{{N}}]{{1,2}}$|^-')) THEN 'closed'
+  ELSE 'unclosed' END AS state FROM g
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT rec_id FROM found",
     "p1_report": _P1 + "SELECT (SELECT count(*) FROM sst_record) AS records, (SELECT count(*) FROM found) AS seen_before, CAST(0 AS DOUBLE) AS wrong_share",
@@ -195,6 +229,7 @@ SQL = {
     SELECT r.mix_id, r.source, r.target_share, r.rate, r.short, coalesce(g.drawn_size, 0) AS drawn_size, coalesce(g.copies, 0) AS copies, coalesce(g.most_repeats, 0) AS most_repeats,
     coalesce(g.drawn_size, 0) / (CASE WHEN r.target_share > 0 THEN r.target_size / r.target_share END) AS share_of_budget, coalesce(g.drawn_size, 0) / w.mix_size AS share_of_drawn
     FROM rated r LEFT JOIN got g ON r.mix_id = g.mix_id AND r.source = g.source LEFT JOIN whole w ON r.mix_id = w.mix_id""",
+    "p8_endings": _P8,
     "p7_found": _P7 + "SELECT DISTINCT mix_id, source FROM plan WHERE max_repeats * source_size < target_size",
     "p7_plan": _P7
     + """SELECT mix_id, source, source_size, target_size, CASE WHEN source_size > 0 THEN least(target_size / source_size, CAST(max_repeats AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS rate,
