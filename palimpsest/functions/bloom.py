@@ -19,14 +19,23 @@ def hash_count(capacity: Column, bits: Column) -> Column:
     return F.when(capacity <= 0, 1).otherwise(F.greatest(F.lit(1), F.bround(bits / capacity * math.log(2)))).cast("bigint")
 
 
+#: Hexadecimal digits of a SHA-256 digest that are converted at a time: as many as are sure to fit a long.
+_DIGITS = 15
+
+
 def bit_of(key: Column, round_no: Column, bits: Column) -> Column:
     """SHA-256 of the UTF-8 key and the round as a big-endian 32-bit number, modulo ``bits``, which must be below 2^31.
 
-    The digest is folded 32 bits at a time, so that no step leaves the range of a long.
+    The digest is folded a few words at a time: remainders are below 2^31, so that no product leaves the range of a long.
     """
     digest = F.sha2(F.concat(F.encode(key, "UTF-8"), F.unhex(F.lpad(F.hex(round_no.cast("bigint")), 8, "0"))), 256)
-    bit = F.lit(0).cast("bigint")
-    for i in range(8):
-        word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
-        bit = ((bit * F.lit(2**32)) % bits + word) % bits
+    first = 64 % _DIGITS
+    shift = F.lit(16**_DIGITS) % bits
+
+    def word(start: int, digits: int) -> Column:
+        return F.conv(F.substring(digest, start + 1, digits), 16, 10).cast("bigint") % bits
+
+    bit = word(0, first)
+    for start in range(first, 64, _DIGITS):
+        bit = ((bit * shift) % bits + word(start, _DIGITS)) % bits
     return bit
