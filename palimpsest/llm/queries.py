@@ -12,10 +12,10 @@ from palimpsest.llm.mixing import SEED, draw, mixture_plan, shares
 from palimpsest.llm.packing import OPEN_BINS, fill, pack
 from palimpsest.llm import truncation
 from palimpsest.llm.truncation import cut_rates, endings, truncated
-from palimpsest.plans.tables import in_batches, table
+from palimpsest.plans.tables import in_growing_batches, table
 from palimpsest.session import scratch_path, written
 
-#: Records that come to the ledger in one batch, at most, and the least number of batches.
+#: Records in each of the ledger's first batches, at most, and the number of these; a later batch has as many as came before it.
 LEDGER_BATCH, LEDGER_BATCHES = 1_000_000, 4
 
 
@@ -23,21 +23,22 @@ LEDGER_BATCH, LEDGER_BATCHES = 1_000_000, 4
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    """The records seen before: each batch, in order of arrival, as the ledger answers it."""
+    """The records seen before: each batch, in order of arrival, as the ledger answers it, written at once so that no plan spans the batches."""
     rows = table(spark, sf, "sst_record").select("rec_id", "k")
     ledger = KeyLedger(spark, scratch_path(spark, "ledger"))
     ledger.seed(table(spark, sf, "key_ledger"), "k")
-    return reduce(DataFrame.unionByName, [ledger.add(batch, "k", "rec_id", b) for b, batch in enumerate(in_batches(rows, "rec_id", LEDGER_BATCH, LEDGER_BATCHES))])
+    batches = in_growing_batches(rows, "rec_id", LEDGER_BATCH, LEDGER_BATCHES)
+    return reduce(DataFrame.unionByName, [written(ledger.add(batch, "k", "rec_id", b).select("rec_id"), "seen") for b, batch in enumerate(batches)])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark, sf).select("rec_id")
+    return _answers(spark, sf)
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Records, those seen before, and the share of wrong answers, against the whole history at once."""
     rows = table(spark, sf, "sst_record").select("rec_id", "k")
-    said = _answers(spark, sf).select("rec_id").withColumn("said", F.lit(1))
+    said = _answers(spark, sf).withColumn("said", F.lit(1))
     known = table(spark, sf, "key_ledger").select("k", F.lit(-1).cast("bigint").alias("rec_id")).unionByName(rows.select("k", "rec_id"))
     first = known.where("k IS NOT NULL").groupBy("k").agg(F.min("rec_id").alias("rec_id"))
     new = first.where("rec_id >= 0").select("rec_id").withColumn("new", F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,24 @@ def in_batches(rows: DataFrame, position: str, size: int, least: int) -> list[Da
     return [rows.where(p.between(a, z) | p.isNull() if z >= high and a <= high else p.between(a, z)) for a, z in bounds]
 
 
+def in_growing_batches(rows: DataFrame, position: str, size: int, least: int) -> list[DataFrame]:
+    """As :func:`in_batches`, but only the first ``least`` ranges hold at most about ``size`` rows; each one after them is as wide as all before it together.
+
+    Their number grows with the logarithm of the rows, so plans and jobs over all batches stay few; and
+    where every batch is joined to those before it, these are read about once in all, not once per ``size`` rows.
+    """
+    p = F.col(f"`{position}`")
+    low, high, n = rows.agg(F.min(p), F.max(p), F.count("*")).first()
+    if low is None:
+        return [rows]
+    ends = list(range(1, least + 1))
+    while ends[-1] * size < n:
+        ends.append(2 * ends[-1])
+    cuts = [low, *(low + (high - low + 1) * e // ends[-1] for e in ends)]
+    # The last cut alone lies beyond the highest position.
+    return [rows.where(p.between(a, z - 1) | p.isNull() if z > high else p.between(a, z - 1)) for a, z in pairwise(cuts)]
+
+
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mutation log derived from ``events``: seq, op, key, value."""
     deleted = F.col("event_type") == "error"

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from palimpsest.llm import queries
 from palimpsest.llm.ledger import KeyLedger
+from palimpsest.plans.tables import in_growing_batches
 from palimpsest.session import scratch_path
 
 SCHEMA = "k string, pos bigint, _key string, _first string"
@@ -109,3 +111,26 @@ def test_neither_append_nor_answer_shuffles_or_broadcasts_the_history(spark, mon
     # The answer reads the batch's own new keys alone.
     folders = {p.split("/data/")[1].split("/")[0] for p in answer.inputFiles() if "/data/" in p}
     assert folders == {made.table.content()["runs"][-1]["folder"].split("/")[1]}
+
+
+def test_batches_that_grow_are_few_and_whole(spark):
+    for positions in ([7], [3, 3, 3], list(range(-5, 95)), [1, 2, 10**12], [None, *range(20), None], [None], [], [-(2**63), 2**63 - 1]):
+        rows = spark.createDataFrame([(p,) for p in positions], "pos bigint").coalesce(1)
+        got = [sorted((r["pos"] for r in b.collect()), key=lambda p: (p is None, p)) for b in in_growing_batches(rows, "pos", 3, 2)]
+        assert [p for b in got for p in b] == sorted(positions, key=lambda p: (p is None, p))
+        assert len(got) <= 7
+    assert [b.count() for b in in_growing_batches(spark.range(96), "id", 3, 2)] == [3, 3, 6, 12, 24, 48]
+    assert [b.count() for b in in_growing_batches(spark.range(6), "id", 3, 2)] == [3, 3]
+
+
+def test_the_answer_of_many_records_takes_few_batches_and_a_small_plan(spark, tmp_path, monkeypatch):
+    """640 records in first batches of 10: 64 equal batches would leave 64 joins and their files to the driver."""
+    data = generate(6, 640)
+    spark.createDataFrame([(p, k) for k, p, *_ in data], "rec_id bigint, k string").write.parquet(f"{tmp_path}/sst_record.parquet")
+    spark.createDataFrame([("k1",), ("k2",)], "k string").write.parquet(f"{tmp_path}/key_ledger.parquet")
+    monkeypatch.setattr(queries, "LEDGER_BATCH", 10)
+    added, add_to = [], KeyLedger.add
+    monkeypatch.setattr(KeyLedger, "add", lambda self, *a: added.append(a) or add_to(self, *a))
+    found = queries.p1_found(spark, str(tmp_path))
+    assert sorted(r["rec_id"] for r in found.collect()) == expected(data, {"k1", "k2"})
+    assert len(added) == 8 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
